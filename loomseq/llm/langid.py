@@ -1,12 +1,18 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made of whole texts. A text is cut into
-blocks of BLOCK bytes, each is compressed with each dictionary, and the language with the smallest
-sum wins. Ties go to the language with more training rows, then by name. The score is the winner's
-share if sizes are taken as code lengths; a text whose score is below MARGIN is marked as rejected.
-
-Dictionaries hold at most DICTIONARY bytes, of training texts in the order of a hash of doc_id; that
-is the bound of the fitted sample. Texts that are null or have no letter are `und` with score 0.
+For each language a raw-content zstandard dictionary is made of its typical words: those in at
+least two sampled texts of the language and, relative to the texts, at least LIFT times as frequent
+there as in any other; the most frequent stand last, where references to them are cheapest. Whole
+sample texts as content would let a few mislabelled ones and their copies decide.
+
+A text is cut into blocks of BLOCK bytes, each is compressed with each dictionary, and the language
+with the smallest sum wins. Ties go to the language with more training rows, then by name. The score
+is the winner's share if sizes are taken as code lengths; a text whose score is below MARGIN is
+marked as rejected.
+
+About WANTED texts of each language, those with the lowest hash of doc_id, are the fitted sample,
+and a dictionary holds at most DICTIONARY bytes; both bounds are parameters of the fit.
+Texts that are null or have no letter are `und` with score 0.
 Without training rows every text is `und`. lang, source and doc_id are no inputs of a prediction.
 Rows that repeat are predicted each; extra columns are ignored.
 """
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from loomseq.llm.common import held_out, map_batches
 
 MODULUS, REMAINDER = 4, 2
-DICTIONARY, LONGEST, WANTED, LEVEL, BLOCK, MARGIN = 1 << 17, 1 << 14, 160, 3, 1024, 0.9
+DICTIONARY, WANTED, LIFT, LEVEL, BLOCK, MARGIN = 1 << 16, 2000, 2.0, 9, 1024, 0.9
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -62,29 +68,54 @@ def decide(total: np.ndarray) -> tuple[int, float]:
     return best, float(1.0 / np.exp2(-2.0 * np.minimum(total - total[best], 400)).sum())
 
 
+def typical(counts: dict[str, dict[str, int]], texts: dict[str, int], names: list[str], size: int = DICTIONARY) -> list[bytes]:
+    """Dictionary contents from the number of texts that have a word, by language."""
+    out = []
+    for name in names:
+        others = [(counts.get(m, {}), texts.get(m, 0)) for m in names if m != name]
+        kept = []
+        for w, k in counts.get(name, {}).items():
+            rate = k / texts[name]
+            if all(rate * n >= LIFT * c.get(w, 0) for c, n in others):
+                kept.append((-k, w))
+        words, used = [], 2
+        for _, w in sorted(kept):
+            used += len(w.encode()) + 1
+            if used > size:
+                break
+            words.append(w)
+        out.append(fold(" ".join(reversed(words)).encode()))
+    return out
+
+
 def fit(docs: DataFrame, wanted: int = WANTED) -> Dictionaries:
-    """Dictionaries from rows with a language that aren't held out. Only rows below a hash threshold
-    that suits the number of a language's rows are fetched, about `wanted` of each."""
+    """Dictionaries from rows with a language that aren't held out. The sample is drawn by a hash
+    threshold that suits the number of a language's rows; words are counted on the executors, and
+    only those in two texts or more come to the driver."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), MODULUS, REMAINDER)).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes_ = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    usable = F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)
-    some = rows.join(counts, "lang").withColumn("u", draw).where(usable & (F.col("u") < wanted / F.col("n"))).select("lang", "n", "u", "text")
-    by: dict[str, list] = {}
-    for r in counts.collect():
-        by[r.lang] = [r.n, []]
-    for r in some.collect():
-        by[r.lang][1].append((r.u, r.text))
-    names = sorted(by, key=lambda x: (-by[x][0], x))
-    contents = []
-    for name in names:
-        content = b""
-        for _, text in sorted(by[name][1]):
-            flat = fold(text.encode("utf-8", "replace"))
-            if len(content) + len(flat) <= DICTIONARY:
-                content += flat
-        contents.append(content)
-    return Dictionaries(names, contents)
+    some = rows.join(sizes_, "lang").where(draw < wanted / F.col("n")).select("lang", "text")
+
+    def words(b: pa.RecordBatch):
+        langs, found = [], []
+        for lang, t in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            own = {""} | set(fold(t or b"").decode().split())  # the empty word counts texts
+            langs += [lang] * len(own)
+            found += own
+        return {"lang": langs, "word": found}
+
+    by = map_batches(some, words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
+    total = {r.lang: r.n for r in sizes_.collect()}
+    counts: dict[str, dict[str, int]] = {}
+    texts: dict[str, int] = {}
+    for r in by.where("k > 1 or word = ''").collect():
+        if r.word:
+            counts.setdefault(r.lang, {})[r.word] = r.k
+        else:
+            texts[r.lang] = r.k
+    names = sorted(total, key=lambda x: (-total[x], x))
+    return Dictionaries(names, typical(counts, texts, names))
 
 
 def predict(docs: DataFrame, model: Dictionaries) -> DataFrame:

@@ -24,7 +24,7 @@ from loomseq.llm import terms as tm
 from loomseq.llm.common import held_out, map_batches, texts_of
 
 MODULUS, REMAINDER = 5, 0
-FEATURES, FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 1024, 8, 30, 256, 0.02, 1e-4, 3
+FEATURES, FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 1024, 8, 30, 1000, 256, 0.02, 1e-5, 3
 
 
 @dataclass
@@ -54,7 +54,8 @@ class Machine:
 
 
 def train(terms: list[np.ndarray], y: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
-    """Adam on the logistic loss with weight decay; the order of rows is drawn from SEED."""
+    """Adam on the logistic loss with weight decay, over the given epochs or STEPS batches if that is
+    more; the order of rows is drawn from SEED."""
     chosen = tm.associated(terms, y, features)
     share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.01
     r = np.random.default_rng(SEED)
@@ -64,7 +65,7 @@ def train(terms: list[np.ndarray], y: np.ndarray, features: int = FEATURES, fact
     x = tm.dense(terms, chosen)
     p = [np.array([m.w0]), m.w, m.v]
     mom, var, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // (1 + len(y) // BATCH)))):
         order = r.permutation(len(y))
         for c in range(0, len(y), BATCH):
             at = order[c : c + BATCH]
