@@ -28,7 +28,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     while len(i):
         low = np.minimum(label[i], label[j])
         new = label.copy()
-        for at in (label[i], label[j], i, j):
+        for at in (label[i], label[j]):  # roots alone: a node moves with its root, or it would lose its tree
             np.minimum.at(new, at, low)
         while True:
             hop = new[new]

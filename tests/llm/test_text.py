@@ -1,0 +1,294 @@
+"""Substring dedup, HTML extraction, language and the fitted scores."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from loomseq.llm import html, langid, quality, substring, terms, toxicity
+
+
+def prose(r, n, stem="w"):
+    return " ".join(f"{stem}{r.randrange(4000)}" for _ in range(n))
+
+
+# --- substring -------------------------------------------------------------------------------
+
+def test_gear_is_the_rolling_hash():
+    data = np.frombuffer(bytes(random.Random(1).randrange(256) for _ in range(400)), dtype=np.uint8)
+    h, want = 0, []
+    for b in data.tolist():
+        h = ((h << 1) + int(substring._GEAR[b])) & 0xFFFF
+        want.append(h)
+    assert substring.gear(data).tolist() == want
+
+
+def test_chunks_cover_the_text_and_resist_shifts():
+    r = random.Random(2)
+    passage = prose(r, 400)
+    for head in ("", "Some other opening words. ", "x\ny\t"):
+        text = (head + passage).encode()
+        b, d, n = substring.chunks(text)
+        assert b[0] == 0 and b[-1] == len(text) and sum(n) == len(text.split())
+    whole = set(substring.chunks(passage.encode())[1])
+    shifted = set(substring.chunks(("inserted " + passage).encode())[1])
+    assert len(whole & shifted) >= len(whole) - 3
+    for t in (b"", b" ", b"a", b"a" * 10_000, "é　ß".encode()):
+        b, d, n = substring.chunks(t)
+        assert b[-1] == len(t) and len(d) == len(n) == len(b) - 1
+
+
+def test_runs():
+    assert substring.runs([True, True, False, True], [9, 9, 9, 9], 15) == [(0, 2)]
+    assert substring.runs([True, False, True], [9, 0, 9], 15) == [(0, 3)]
+    assert substring.runs([], [], 15) == []
+
+
+def planted(r):
+    passage = prose(r, 70, "p")
+    docs = {k: prose(r, 120) for k in range(40)}
+    for k in (3, 11, 29):
+        words = docs[k].split()
+        docs[k] = " ".join(words[:50]) + "\n" + passage + "\n" + " ".join(words[50:])
+    docs[35] = docs[8]
+    docs[36] = docs[9] + " " + docs[9]
+    return docs, passage
+
+
+def test_report(spark):
+    docs, passage = planted(random.Random(3))
+    rows = [(k, t, 1) for k, t in docs.items()] + [(90, None, 1), (91, "", 1), (92, " ", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, at int")
+    got = {x.doc_id: x for x in substring.report(df).collect()}
+    inner = " ".join(passage.split()[25:45])
+    assert inner in got[3].text and inner not in got[11].text and inner not in got[29].text
+    assert got[11].first_docs == [3] and got[11].removed_words >= 30
+    assert got[35].text.strip() == "" and got[35].first_docs == [8]
+    assert len(got[36].text.split()) < 160
+    for k, t in docs.items():
+        if k not in (11, 29, 35, 36):
+            assert got[k].text == t and got[k].removed_words == 0
+        raw, at = t.encode(), 0
+        kept = []
+        for s in got[k].removed_spans:
+            kept.append(raw[at : s.start])
+            at = s.end
+        assert b"".join(kept) + raw[at:] == got[k].text.encode()
+    assert got[90].text is None and got[91].text == "" and got[92].text == " "
+    left = substring.dedup(df)
+    assert left.columns == df.columns and {x.doc_id for x in left.collect()} == {x[0] for x in rows} - {35}
+    assert substring.report(df.limit(0)).count() == 0
+
+
+def test_marks_match_counting(spark):
+    """The joined marks are those of a plain dictionary over all chunks."""
+    docs, _ = planted(random.Random(4))
+    first, count = {}, {}
+    for k, t in docs.items():
+        _, d, n = substring.chunks(t.encode())
+        for x, w in zip(d, n):
+            if w:
+                first.setdefault(x, k)
+                count[x] = count.get(x, 0) + 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(5)
+    got = {x.doc_id: x.marks for x in substring.marked(df).collect()}
+    for k, t in docs.items():
+        _, d, n = substring.chunks(t.encode())
+        assert got.get(k, {}) == {i: first[x] for i, (x, w) in enumerate(zip(d, n)) if w and count[x] > 1}
+
+
+def test_repeated_rows_are_one_document(spark):
+    t = prose(random.Random(5), 80)
+    df = spark.createDataFrame([(1, t), (1, t)], "doc_id bigint, text string")
+    got = [x.text for x in substring.report(df).collect()]
+    assert got[0] == got[1]
+
+
+# --- html ------------------------------------------------------------------------------------
+
+LONG = "A sentence, with commas, that is long enough to count as prose, really, in any article. "
+PAGE = f"""<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{x}}</style><script>var a="</p><p>no";</script></head>
+<body><header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><aside>More</aside>
+<article><h1>Title &amp; more</h1><p><b>First.<br><p>{LONG}&eacute; <a href=x>link</a>
+  next</p><form><input name=a>Sign up</form><ul><li>One<li>Two</ul><div class='ad'>Buy</div><!-- c --><p>Last&nbsp;one</article>
+<div id="comments"><p>{LONG * 3}</p></div><footer>&copy; f</footer></body></html>"""
+
+
+def test_extract():
+    assert html.extract(PAGE).split("\n") == ["Title & more", "First.", f"{LONG}é link next", "One", "Two", "Last one"]
+
+
+def test_extract_without_article():
+    page = f"<div class=wrap><div class=menu><a href=a>{LONG}</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div></div>"
+    assert html.extract(page) == "\n".join([LONG.strip()] * 2)
+    links = f"<div>{'<p><a href=a>x, y, z, and a long link text</a></p>' * 20}</div><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.extract(links) == "\n".join([LONG.strip()] * 2)
+
+
+def test_extract_keeps_parts_of_an_article():
+    page = f"<main class='with-sidebar'><article class='post'><header><h1>Head</h1></header><section><p>{LONG * 4}</p></section><section><p>Short.</p></section><ul><li><a href=a>More one</a><li><a href=b>More two</a></ul><article class='comment'><p>{LONG}</p></article></article></main>"
+    assert html.extract(page) == "\n".join(["Head", (LONG * 4).strip(), "Short."])
+
+
+@pytest.mark.parametrize("page,text", [
+    ("", ""), ("plain, words", "plain, words"), ("<p>a", "a"), ("</div></p>x", "x"), ("<p>a < b & c", "a < b & c"),
+    ("<script>never closed", ""), ("<!-- never closed", ""), ("<a title='x", "<a title='x"), ("<p>x<script>y</p>", "x"), ("<div><div></div>", ""),
+])
+def test_broken_pages(page, text):
+    assert html.extract(page) == text
+
+
+def test_deep_and_long_pages():
+    assert html.extract("<div>" * 20_000 + "x, y") == "x, y"
+    assert len(html.extract("<p>" + "word, " * 200_000)) == 1_199_999
+
+
+def test_main_text(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "a"), (2, None, None, "b"), (1, "u", PAGE, "c")], "page_id bigint, url string, html string, text string")
+    got = html.main_text(df).collect()
+    assert sorted(x.n_chars for x in got) == sorted([0, len(html.extract(PAGE)), len(html.extract(PAGE))])
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+# --- language --------------------------------------------------------------------------------
+
+def two_languages(n):
+    r = random.Random(6)
+    a, b = [f"ka{x}lo" for x in range(300)], [f"zu{x}mi" for x in range(300)]
+    return [(k, " ".join(r.choice(a if k % 2 else b) for _ in range(r.choice([8, 60, 300]))), "aa" if k % 2 else "bb", "x") for k in range(n)]
+
+
+def test_language(spark):
+    rows = two_languages(400) + [(900, None, "aa", "x"), (901, "", "bb", "x"), (902, "12 34 !!", None, "x"), (903, "ka1lo " * 50_000, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit(df)
+    got = {x.doc_id: x for x in langid.predict(df, model).collect()}
+    assert len(got) == len(rows)
+    held = [r for r in rows[:400] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert all(got[r[0]].held_out for r in held)
+    assert np.mean([got[r[0]].lang_pred == r[2] for r in held]) > 0.97
+    assert [got[k].lang_pred for k in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
+    assert all(0 <= x.score <= 1 for x in got.values())
+    again = {x.doc_id: x for x in langid.predict(df.repartition(3), model).collect()}
+    assert again == got
+
+
+def test_language_without_rows(spark):
+    df = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
+    assert langid.predict(df, langid.fit(df)).head().lang_pred == "und"
+    assert langid.predict(df.limit(0), langid.fit(df.limit(0))).count() == 0
+
+
+def test_mislabelled_texts_do_not_decide():
+    counts = {"a": {"x": 90, "y": 3}, "b": {"y": 80, "x": 2}}
+    a, b = langid.typical(counts, {"a": 100, "b": 100}, ["a", "b"])
+    assert a.split() == [b"x"] and b.split() == [b"y"]
+
+
+# --- fitted scores ---------------------------------------------------------------------------
+
+def test_machine_learns_a_pair():
+    """Neither term is toxic alone; both together are."""
+    r = random.Random(7)
+    insult, group = terms._hasher(["insult", "group"])
+    rows, y = [], []
+    for _ in range(4000):
+        own = {terms._hasher([f"n{r.randrange(50)}"])[0] for _ in range(4)}
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.array(sorted(own | ({insult} if a else set()) | ({group} if b else set()))))
+        y.append(float(a and b))
+    m = toxicity.train(rows, np.array(y), 64, 4, 60)
+    place = {int(c): k for k, c in enumerate(m.chosen)}
+    x = np.zeros((3, len(m.chosen)))
+    x[0, place[insult]] = x[1, place[group]] = x[2, place[insult]] = x[2, place[group]] = 1
+    z = m.logits(x)
+    assert z[0] < 0 and z[1] < 0 < z[2]
+    i, g = place[insult], place[group]
+    assert m.v[i] @ m.v[g] > 1
+
+
+def test_logits_equal_the_sum_over_pairs():
+    r = np.random.default_rng(8)
+    m = toxicity.Machine(np.arange(6), 0.3, r.normal(size=6), r.normal(size=(6, 3)))
+    x = (r.uniform(size=(20, 6)) < 0.5).astype(float)
+    want = [0.3 + sum(m.w[k] for k in range(6) if a[k]) + sum(m.v[i] @ m.v[j] for i in range(6) for j in range(i) if a[i] and a[j]) for a in x]
+    assert m.logits(x) == pytest.approx(np.array(want))
+
+
+def toxic_corpus(n=900):
+    r = random.Random(9)
+    docs, labels = [], []
+    for k in range(n):
+        bad = r.random() < 0.3
+        words = [f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(30)]
+        if bad:
+            words[r.randrange(30)] = r.choice(["Idiotic,", "SCUMBAG"])
+        docs.append((k, " ".join(words), "en", "s", 100))
+        if r.random() < 0.8:
+            labels.append((k, int(not bad), int(bad)))
+    return docs, labels
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_corpus()
+    df = spark.createDataFrame(docs + [(5000, None, None, None, None), (5001, "", "", "", 0), (5002, "fine words " * 30_000, "en", "s", 1)], SCHEMA)
+    lab = spark.createDataFrame(labels + [(5000, None, None)], "doc_id bigint, quality int, toxic int")
+    m = toxicity.fit(df, lab)
+    got = {x.doc_id: x for x in toxicity.scores(df, m).collect()}
+    truth = {k: t for k, _, t in labels}
+    held = [k for k in truth if got[k].held_out]
+    assert len(held) > 50 and all(got[k].predicted == truth[k] for k in held)
+    assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got.values())
+    assert got[5000].score == got[5001].score and not got[5000].predicted
+    kept = toxicity.keep_clean(df, m)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {k for k, x in got.items() if not x.predicted}
+    z = m.logits(terms.dense([np.array(terms.term_set(t.encode())) for _, t, *_ in docs[:50]], m.chosen).astype(float))
+    assert [got[k].score for k in range(50)] == pytest.approx(terms.sigmoid(z), abs=1e-6)
+
+
+def test_toxicity_without_labels(spark):
+    df = spark.createDataFrame([(1, "x y", "en", "s", 3)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert toxicity.scores(df, toxicity.fit(df, none)).head().predicted == 0
+    assert toxicity.scores(df.limit(0), toxicity.fit(df.limit(0), none)).count() == 0
+
+
+def test_held_out_labels_are_not_read(spark):
+    docs, labels = toxic_corpus(300)
+    df = spark.createDataFrame(docs, SCHEMA)
+    flip = [(k, q, 1 - t) if zlib.crc32(str(k).encode()) % 5 == 0 else (k, q, t) for k, q, t in labels]
+    kind = "doc_id bigint, quality int, toxic int"
+    a, b = (toxicity.fit(df, spark.createDataFrame(x, kind)) for x in (labels, flip))
+    assert (a.v == b.v).all() and (a.w == b.w).all()
+
+
+def test_quality(spark):
+    docs, labels = toxic_corpus()
+    docs = [(k, t, "en" if "c" in t[:9] else "de", "s", len(t)) for k, t, *_ in docs]
+    df = spark.createDataFrame(docs + [(5000, None, None, None, None), (5001, "", None, "s", 0)], SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.scores(df, quality.fit(df, lab)).collect()}
+    held = [(k, q) for k, q, _ in labels if got[k].held_out]
+    assert np.mean([got[k].keep == q for k, q in held]) > 0.95 and len(got) == len(docs) + 2
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.scores(df, quality.fit(df, none)).count() == len(docs) + 2
+    assert quality.scores(df.limit(0), quality.fit(df.limit(0), none)).count() == 0
+
+
+def test_cotraining_uses_the_pool():
+    """One view is told by few labels, the other only through what the first passes on."""
+    r = np.random.default_rng(10)
+    y = r.integers(0, 2, 600)
+    xt = np.stack([y, 1 - y], axis=1) + 0.0
+    xm = np.eye(20)[np.where(y == 1, r.integers(0, 10, 600), r.integers(10, 20, 600))]
+    few = np.array([np.nonzero(y == 1)[0][0], np.nonzero(y == 0)[0][0], np.nonzero(y == 1)[0][1], np.nonzero(y == 0)[0][1]])
+    rest = np.setdiff1d(np.arange(600), few)
+    _, wm = quality.cotrain(xt[few], xm[few], y[few], xt[rest], xm[rest], 8)
+    _, alone = quality.cotrain(xt[few], xm[few], y[few], xt[rest], xm[rest], 0)
+    right = lambda w: np.mean((quality.logits(xm, w) > 0) == (y == 1))
+    assert right(wm) > 0.9 > right(alone)
