@@ -4,8 +4,8 @@ A document's features are the hashed, lower-cased runs of letters that it contai
 sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so that two terms together can weigh more, or
 less, than both alone. Pairs are summed by (|sum v|^2 - sum |v|^2) / 2.
 
-The fit learns from labelled rows that aren't held out, at most SAMPLE of them, over the FEATURES
-buckets most associated with the label. Nulls and empty texts get the score without any term.
+The fit learns from labelled rows that aren't held out, at most SAMPLE of them, over the up to
+FEATURES buckets most associated with the label. Nulls and empty texts get the score without any term.
 Without labelled rows of both kinds the score is the smoothed share of toxic ones. Rows that repeat
 a doc_id count once in the fit and are scored each. Labels, lang, source and doc_id are no inputs of
 a score. Extra columns are ignored by scores() and kept by keep_clean().
@@ -25,6 +25,7 @@ from loomseq.llm.common import held_out, map_batches, texts_of
 
 MODULUS, REMAINDER = 5, 0
 FEATURES, FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 1024, 8, 30, 1000, 256, 0.02, 1e-5, 3
+ROWS_A_TERM = 16
 
 
 @dataclass
@@ -55,8 +56,9 @@ class Machine:
 
 def train(terms: list[np.ndarray], y: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     """Adam on the logistic loss with weight decay, over the given epochs or STEPS batches if that is
-    more; the order of rows is drawn from SEED."""
-    chosen = tm.associated(terms, y, features)
+    more; the order of rows is drawn from SEED. A term needs ROWS_A_TERM rows to be learned from, so
+    that few rows don't fit chance."""
+    chosen = tm.associated(terms, y, min(features, max(32, len(y) // ROWS_A_TERM)))
     share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.01
     r = np.random.default_rng(SEED)
     m = Machine(chosen, float(np.log(share / (1 - share))), np.zeros(len(chosen)), r.normal(0, 0.05, (len(chosen), factors)))
