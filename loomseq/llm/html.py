@@ -3,7 +3,8 @@
 A page becomes a tree; elements that are never content go with all they hold. Each paragraph-like
 block earns points for its length and commas and hands them to its parent, half to the grandparent
 and a third above; a container's points are discounted by the share of its text that is inside
-links. The best container and those siblings that score well or read like prose are kept.
+links. The best container, or the article element around it, and those siblings that score well or read
+like prose are kept; lists and boxes in it that are nearly all links go.
 
 Character references are decoded, white space inside a block becomes one blank, and blocks are
 joined by one newline in page order. Null and empty pages give the empty text; broken mark-up never
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +32,20 @@ CLOSED_BY = {  # an open element of the key ends where one of these starts
     "p": BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
+CLOSERS = frozenset().union(*CLOSED_BY.values())
 LIMITS = frozenset("table td th ul ol dl article section div main body html blockquote".split())
 #: Words in class, id or role that mark what isn't the article.
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs header masthead footer foot sidebar aside rail widget notice notices cookie cookies consent gdpr "
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus discussion replies reply respond "
-    "share sharing social related recommended recommendations trending pagination pager toolbar search complementary contentinfo hidden".split()
+    "share sharing social related recommended recommendations trending pagination pager toolbar search complementary contentinfo hidden "
+    "side responses disclaimer copyright paywall skip".split()
 )
+#: Words that turn such a mark into a remark about the layout, as in "no-sidebar".
+LAYOUT = frozenset("has no with without".split())
+#: Whole classes that make an article element something else.
+NOT_ARTICLE = frozenset("comment reply response ad ads advert advertisement promo sponsored teaser related".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -53,10 +61,20 @@ class Node:
         self.points = self.chars = self.linked = 0.0
 
 
+def close(here: Node, upto: Node, opened: Counter) -> Node:
+    """End here and its parents up to and with `upto`."""
+    while True:
+        opened[here.name] -= 1
+        if here is upto:
+            return here.parent
+        here = here.parent
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: unknown ends are dropped, open elements end with their parents."""
     root = Node("#root", None)
     at, here = 0, root
+    opened: Counter = Counter()  # names that are open, so that a stray end costs nothing
     find = _TOKEN.search
     while True:
         m = find(page, at)
@@ -70,23 +88,21 @@ def parse(page: str) -> Node:
             continue
         name = named.group(1).lower()
         if token[1] == "/":
-            up = here
+            up = here if opened[name] else root
             while up is not root and up.name != name:
                 if name not in BLOCKS and up.name in LIMITS:  # an inline end doesn't close a container
                     up = root
                     break
                 up = up.parent
             if up is not root:
-                here = up.parent
+                here = close(here, up, opened)
             continue
-        stop = here
-        while stop is not root:
+        if name in CLOSERS:
+            stop = here
+            while stop is not root and stop.name not in LIMITS and name not in CLOSED_BY.get(stop.name, ()):
+                stop = stop.parent
             if name in CLOSED_BY.get(stop.name, ()):
-                here = stop.parent
-                break
-            if stop.name in LIMITS:
-                break
-            stop = stop.parent
+                here = close(here, stop, opened)
         attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(token, named.end())} if "=" in token else {}
         node = Node(name, here, attrs)
         here.kids.append(node)
@@ -96,6 +112,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif name not in VOID and not token.endswith("/>"):
             here = node
+            opened[name] += 1
     if at < len(page):
         here.kids.append(page[at:])
     return root
@@ -106,13 +123,18 @@ def unwanted(node: Node, in_article: bool) -> bool:
         return True
     if node.name == "header":
         return not in_article
-    if node.name in ("html", "body", "article", "main", "h1"):
+    if node.name in ("html", "body", "h1"):
         return False
+    if node.name in ("article", "main"):
+        return not NOT_ARTICLE.isdisjoint(node.attrs.get("class", "").lower().split())
     style = node.attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
         return True
-    marks = " ".join(node.attrs.get(a, "") for a in ("class", "id", "role", "aria-label")).lower()
-    return bool(marks) and not UNWANTED.isdisjoint(_WORDS.findall(marks))
+    for mark in " ".join(node.attrs.get(a, "") for a in ("class", "id", "role", "aria-label")).lower().split():
+        words = _WORDS.findall(mark)
+        if not UNWANTED.isdisjoint(words) and LAYOUT.isdisjoint(words):
+            return True
+    return False
 
 
 def prune(root: Node) -> None:
@@ -152,10 +174,6 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def inline_only(node: Node) -> bool:
-    return all(isinstance(k, str) or (k.name not in BLOCKS and inline_only(k)) for k in node.kids)
-
-
 def score(root: Node) -> list[Node]:
     """Containers with points, each block's handed upwards."""
     found: dict[int, Node] = {}
@@ -183,6 +201,19 @@ def score(root: Node) -> list[Node]:
     return list(found.values())
 
 
+LINK_BOXES = frozenset("ul ol dl table div section".split())
+
+
+def links(node: Node) -> int:
+    n, stack = 0, [node]
+    while stack:
+        for k in stack.pop().kids:
+            if not isinstance(k, str):
+                n += k.name == "a"
+                stack.append(k)
+    return n
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order."""
     out: list[str] = []
@@ -205,6 +236,8 @@ def blocks(nodes: list[Node]) -> list[str]:
             parts.append(" ")
         elif k.name in BLOCKS:
             flush()
+            if k.name in LINK_BOXES and k.chars and density(k) > 0.8 and links(k) > 1:
+                continue
             stack.append(None)
             stack += reversed(k.kids)
         else:
@@ -221,6 +254,10 @@ def extract(page: str) -> str:
     if not named:
         return "\n".join(blocks([root]))
     best = max(named, key=lambda n: n.points)
+    up = best
+    while up is not None and up.name != "article":
+        up = up.parent
+    best = up or best  # a part of an article stands for all of it
     keep = [best]
     if best.parent is not None and best.name not in ("body", "html", "article", "main"):
         least = max(10.0, 0.2 * best.points)
