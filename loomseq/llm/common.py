@@ -54,19 +54,20 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema, rows: int = 256) -> DataFrame:
     """mapInArrow with fn from RecordBatch to RecordBatch, dict of columns, or an iterable of these.
 
-    fn gets strings as binary, so that invalid UTF-8 and decoding cost don't matter."""
+    fn sees at most `rows` rows at a time, so that a worker never holds a whole Arrow batch of texts
+    as Python objects."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = fn(b)
+        for whole in batches:
+            for c in range(0, whole.num_rows, rows):
+                out = fn(whole.slice(c, rows))
                 for x in [out] if isinstance(out, (dict, pa.RecordBatch)) else out:
                     yield as_batch(x, target)
 

@@ -114,20 +114,18 @@ def bucket_rows(vectors: DataFrame, **settings) -> DataFrame:
     made: dict[int, Tables] = {}
 
     def run(b: pa.RecordBatch):
-        for c in range(0, b.num_rows, 1024):
-            part = b.slice(c, 1024)
-            unit, at = _matrix(part.column("vector"))
-            if not len(at):
-                continue
-            tables = made.setdefault(unit.shape[1], Tables(unit.shape[1], **settings))
-            cells = tables.cells(unit)
-            good = part.take(pa.array(at))
-            codes = pa.array(list(cells.reshape(len(at), -1)), type=pa.list_(pa.int64()))
-            for t in range(cells.shape[1]):
-                for p in range(cells.shape[2]):
-                    yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "cells": codes, "home": np.full(len(at), p == 0)}
-
-    return map_batches(vectors.select("id", "vector", "weight"), run, f"key bigint, id bigint, weight bigint, vector {kind}, cells array<bigint>, home boolean")
+        unit, at = _matrix(b.column("vector"))
+        if not len(at):
+            return
+        tables = made.setdefault(unit.shape[1], Tables(unit.shape[1], **settings))
+        cells = tables.cells(unit)
+        good = b.take(pa.array(at))
+        codes = pa.array(list(cells.reshape(len(at), -1)), type=pa.list_(pa.int64()))
+        for t in range(cells.shape[1]):
+            for p in range(cells.shape[2]):
+                yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "cells": codes, "home": np.full(len(at), p == 0)}
+
+    return map_batches(vectors.select("id", "vector", "weight"), run, f"key bigint, id bigint, weight bigint, vector {kind}, cells array<bigint>, home boolean", rows=1024)
 
 
 def checker(threshold: float = THRESHOLD, tables: int = TABLES):

@@ -44,7 +44,7 @@ _shapes: dict[str, str] = {}
 def text_terms(text: bytes) -> list[int]:
     """Words, shapes of white-space separated parts, and whether lines repeat."""
     s = text.decode("utf-8", "replace")
-    if len(_shapes) > 200_000:
+    if len(_shapes) > 100_000:
         _shapes.clear()
     found = set()
     for w in set(s.split()):

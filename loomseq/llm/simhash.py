@@ -91,7 +91,7 @@ def bucket_rows(fps: DataFrame) -> DataFrame:
                     flipped = (base | second | np.uint64(1 << bit))[at]
                     yield {"key": flipped.view(np.int64), "id": ids[at], "fp": fp[at], "probe": np.ones(len(at), bool)}
 
-    return map_batches(fps.select("id", "fp"), run, "key bigint, id bigint, fp bigint, probe boolean")
+    return map_batches(fps.select("id", "fp"), run, "key bigint, id bigint, fp bigint, probe boolean", rows=4096)
 
 
 def _load(b: pa.RecordBatch):

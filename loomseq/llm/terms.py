@@ -17,7 +17,7 @@ from loomseq.llm.common import map_batches, texts_of
 
 SAMPLE, BUCKETS = 20_000, 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
-_KEEP = 400_000
+_KEEP = 100_000
 
 
 class Hasher:
