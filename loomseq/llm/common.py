@@ -27,13 +27,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation. The table goes when the driver ends."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table that materialise() gives, and its folder."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loomseq-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
         atexit.register(_drop_all)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
@@ -95,9 +100,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each works on rows of edges with partial
     aggregation, so a hub never meets in one task, and the links stay distributed. Every round is
     written to the shared folder, and rounds grow with the logarithm of a component's diameter."""
-    spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now, mark = _round(now)
+    start = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    now, path, mark = _round(start)
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -105,7 +109,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
-        now, after = _round(small)
+        before = path
+        now, path, after = _round(small)
+        drop_scratch(edges.sparkSession, before)  # nothing reads an older round again
         if after == mark:
             break
         mark = after
@@ -114,8 +120,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _round(df: DataFrame):
-    """The written table and a mark of its rows: their number and two sums of hashes."""
-    t = materialise(df)
+    """The written table, its folder, and a mark of its rows: their number and two sums of hashes."""
+    t, path = written(df)
     h = F.xxhash64("hi", "lo")
     row = t.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.shiftrightunsigned(h, 24))).head()
-    return t, tuple(row)
+    return t, path, tuple(row)
