@@ -103,7 +103,7 @@ def _level(rows: DataFrame, shards: dict, level: int, last: bool) -> DataFrame:
     """One flight over blocks; in the last, a source is one block and lands."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(s, n) for s, n in shards.items()], "src string, shards bigint")
-    salted = rows.join(table, rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(doc_id, {level}), shards)"))
+    salted = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(doc_id, {level}), shards)"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first").reset_index(drop=True)
@@ -118,7 +118,7 @@ def _level(rows: DataFrame, shards: dict, level: int, last: bool) -> DataFrame:
     goal = salted.withColumn("goal", F.lit(0.0))
     if last:  # what this block's probabilities promise
         sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
-        goal = salted.join(sums, salted["source"].eqNullSafe(sums["src"])).drop("src")
+        goal = salted.join(F.broadcast(sums), salted["source"].eqNullSafe(sums["src"])).drop("src")
     return goal.groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, size bigint, p double")
 
 
@@ -129,11 +129,12 @@ def plan(docs: DataFrame) -> DataFrame:
     totals = {r.source: (r.n, r.size) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     want = targets([(s, size) for s, (_, size) in totals.items()])
     rate = {s: want[s] / size if size else 0.0 for s, (_, size) in totals.items()}
+    # The driver holds a row for each source; so small a table is broadcast, and no source meets in one task.
     facts = spark.createDataFrame(
         [(s, int(size), float(want[s]), int(rate[s]), rate[s] - int(rate[s])) for s, (_, size) in totals.items()],
         "src string, source_size bigint, target double, base int, p double",
     )
-    known = rows.join(facts, rows["source"].eqNullSafe(facts["src"])).drop("src")
+    known = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["src"])).drop("src")
     live = known.where("p > 0 and p < 1").select("doc_id", "source", "size", "p")
     counts = {s: n for s, (n, _) in totals.items() if 0.0 < rate[s] - int(rate[s]) < 1.0}
     done, level = [], 0
@@ -150,7 +151,7 @@ def plan(docs: DataFrame) -> DataFrame:
         settled = settled.unionByName(d)
     flat = known.where("not (p > 0 and p < 1)").select("doc_id", "source", "size", F.lit(0).alias("more")).unionByName(settled)
     return (
-        flat.join(facts.drop("p"), flat["source"].eqNullSafe(facts["src"]))
+        flat.join(F.broadcast(facts.drop("p")), flat["source"].eqNullSafe(facts["src"]))
         .withColumn("times", F.col("base") + F.col("more"))
         .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("bigint").alias("taken"))
     )
