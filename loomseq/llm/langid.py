@@ -93,9 +93,13 @@ def fit(docs: DataFrame, wanted: int = WANTED) -> Dictionaries:
     threshold that suits the number of a language's rows; words are counted on the executors, and
     only those in two texts or more come to the driver."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), MODULUS, REMAINDER)).select("doc_id", "lang", "text")
-    sizes_ = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not total:
+        return Dictionaries([], [])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.join(sizes_, "lang").where(draw < wanted / F.col("n")).select("lang", "text")
+    # The driver holds a row for each language and broadcasts these; texts aren't shuffled.
+    share = docs.sparkSession.createDataFrame([(k, wanted / n) for k, n in total.items()], "lang string, share double")
+    some = rows.where(draw < wanted / min(total.values())).join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def words(b: pa.RecordBatch):
         langs, found = [], []
@@ -106,7 +110,6 @@ def fit(docs: DataFrame, wanted: int = WANTED) -> Dictionaries:
         return {"lang": langs, "word": found}
 
     by = map_batches(some, words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
-    total = {r.lang: r.n for r in sizes_.collect()}
     counts: dict[str, dict[str, int]] = {}
     texts: dict[str, int] = {}
     for r in by.where("k > 1 or word = ''").collect():
