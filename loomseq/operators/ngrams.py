@@ -69,9 +69,10 @@ def top_ngrams(grouped: DataFrame, cap: int, key: str = "doc_id") -> DataFrame:
 
 
 def match(docs: DataFrame, tokens: str, dictionary: DataFrame, low: int, high: int, cap: int, max_seq_length: int, key: str = "doc_id", dictionary_rows: int | None = None) -> DataFrame:
-    """(key, ngram_id, positions, rk): dictionary hits grouped, ranked and capped. Grouping is by
-    (key, ngram_id) within a partitioning by key, so that one shuffle serves both steps."""
-    found = hits(docs, tokens, dictionary, low, high, key, dictionary_rows).repartition(key)
+    """(key, ngram_id, positions, rk): dictionary hits grouped, ranked and capped. Token arrays are
+    dealt by key before windows are made, so that this one shuffle spreads the work evenly and serves
+    grouping by (key, ngram_id) and ranking by key alike."""
+    found = hits(docs.select(key, tokens).repartition(key), tokens, dictionary, low, high, key, dictionary_rows)
     return top_ngrams(group_positions(found, key, max_seq_length), cap, key)
 
 

@@ -28,8 +28,15 @@ def joined(column: str, name: str | None = None):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), " ").alias(name or column)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with few partitions for the cores (one small file) is dealt to all cores before rows are
+    multiplied; a large table has more partitions than that and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def docs_of(spark, sf):
-    return rec.tokenised(table(spark, sf, "documents").select("doc_id", "text"))
+    return rec.tokenised(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def dictionary_of(docs):
