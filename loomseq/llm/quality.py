@@ -7,7 +7,7 @@ surest, as many of either kind as the labels' shares ask for, and hands them to
 scaling on rows that neither learned from calibrates each view, and a logistic model on both
 calibrated logits scores all documents.
 
-Fits take at most SAMPLE labelled and POOL unlabelled rows. Nulls and empty texts have no terms, a
+Fits take at most LABELLED labelled and POOL unlabelled rows. Nulls and empty texts have no terms, a
 null source or language is a value of its own. Without labels of both kinds every score is their
 smoothed share. Rows that repeat a doc_id are scored each. An empty table gives an empty result.
 """
@@ -27,7 +27,7 @@ from loomseq.llm import terms as tm
 from loomseq.llm.common import held_out, map_batches, texts_of
 
 MODULUS, REMAINDER = 5, 0
-POOL, ROUNDS, GIVE, FEATURES, META = 10_000, 3, 0.05, 512, 256
+LABELLED, POOL, ROUNDS, GIVE, FEATURES, META = 8_000, 4_000, 3, 0.05, 256, 256
 _SHAPE = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(.)\1+"), r"\1")]
 META_COLUMNS = ["lang", "source", "n_chars"]
 
@@ -68,16 +68,16 @@ def meta_row(lang, source, n_chars) -> np.ndarray:
     return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 300, rate: float = 0.05) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 150, rate: float = 0.1) -> np.ndarray:
     """Weights and, last, the intercept, by Adam on all rows."""
-    b = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float64)
+    b = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, mom, var = np.zeros(b.shape[1]), np.zeros(b.shape[1]), np.zeros(b.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     w[-1] = np.log(share / (1 - share))
     keep = np.ones(len(w))
     keep[-1] = 0
     for k in range(1, steps + 1):
-        g = b.T @ (tm.sigmoid(b @ w) - y) / max(1, len(y)) + decay * keep * w
+        g = b.T @ (tm.sigmoid(b @ w.astype(b.dtype)) - y).astype(b.dtype) / max(1, len(y)) + decay * keep * w
         mom += 0.1 * (g - mom)
         var += 0.001 * (g * g - var)
         w -= rate * mom / (1 - 0.9**k) / (np.sqrt(var / (1 - 0.999**k)) + 1e-8)
@@ -131,15 +131,15 @@ def cotrain(xt, xm, y, ut, um, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     learn = ~held_out(F.col("doc_id"), MODULUS, REMAINDER)
     known = tm.labels_of(labels, "quality", learn)
-    picked = tm.sample_ids(known, "y").unionByName(
+    picked = tm.sample_ids(known, "y", limit=LABELLED).unionByName(
         tm.sample_ids(docs.select("doc_id").where(learn).join(known.select("doc_id"), "doc_id", "left_anti"), limit=POOL).withColumn("y", F.lit(-1))
     )
     terms, columns = tm.features_of(docs.select("doc_id", "text", *META_COLUMNS), picked, text_terms, ["y", *META_COLUMNS])
     y = np.array(columns[0], dtype=int)
-    meta = np.array([meta_row(*m) for m in zip(*columns[1:])]).reshape(len(y), META + 1)
+    meta = np.array([meta_row(*m) for m in zip(*columns[1:])], np.float32).reshape(len(y), META + 1)
     has = np.nonzero(y >= 0)[0]
     chosen = tm.associated([terms[k] for k in has], y[has].astype(float), FEATURES)
-    xt = tm.dense(terms, chosen).astype(np.float64)
+    xt = tm.dense(terms, chosen)
     share = (y[has].sum() + 0.5) / (len(has) + 1.0)
     flat = np.log(share / (1 - share))
     if len(set(y[has])) < 2:
