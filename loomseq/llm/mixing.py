@@ -27,7 +27,7 @@ from loomseq.llm.common import map_batches, materialise, texts_of
 
 #: The weights by source in code point order, the share of all sizes, the largest repeat.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BLOCK, LANDING, SEED = 1024, 12, 11
+BLOCK, LANDING, SEED = 1024, 16, 11
 _EPS = 1e-9
 
 
