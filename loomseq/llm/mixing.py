@@ -119,7 +119,9 @@ def _level(rows: DataFrame, shards: dict, level: int, last: bool) -> DataFrame:
     if last:  # what this block's probabilities promise
         sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
         goal = salted.join(F.broadcast(sums), salted["source"].eqNullSafe(sums["src"])).drop("src")
-    return goal.groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, size bigint, p double")
+    named = goal.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn null ids' column to floats
+    flown = named.groupBy("source", "block").applyInPandas(run, "doc_id string, source string, size bigint, p double")
+    return flown.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def plan(docs: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the plan takes it. Rows that repeat a doc_id take its entries
     in turn, so each entry is used once."""
-    times = plan(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("times")).alias("_times"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_words_"))
-    both = docs.withColumn("n_words_", F.length("text")).join(times, "doc_id").withColumn("_n", F.get("_times", turn - 1))
+    times = plan(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("times")).alias("_times"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("_length"))
+    both = docs.withColumn("_length", F.length("text")).join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_n", F.get("_times", turn - 1))
     return both.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

@@ -7,7 +7,8 @@ floor(l * BUDGET / SEGMENTS) of them, for every l: 0, 1, 2, 3. Segment and next
 difference) make the bucket key; the rest of the chain is checked before the full distance.
 
 Nulls and empty texts have fingerprint zero and link like any other. Repeated rows and exact copies
-share a fingerprint and enter the search once. An empty table gives an empty result. Other columns
+share a fingerprint and enter the search once. A row without doc_id is in the component of those that
+share its fingerprint, or in none; dedup() drops it. An empty table gives an empty result. Other columns
 of the table are ignored by fingerprints() and kept by dedup().
 """
 
@@ -119,7 +120,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included."""
     prints = materialise(fingerprints(docs))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = linked(bucket_rows(distinct), _load, _verify)
+    found = linked(bucket_rows(distinct.where("id is not null")), _load, _verify)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = materialise(
         distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
