@@ -21,7 +21,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 #: Characters that normalise to themselves or their lower case, and the tokenizer's pattern on them.
 _PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z\xdf-\xf6\xf8-\xff0-9]+").findall
-KEEP, LONGEST, SLICE, JOINED = 300_000, 48, 1 << 19, 1024
+KEEP, LONGEST, SLICE, JOINED = 300_000, 48, 1 << 20, 1024
 _END = "</w>"
 _state: dict[str, Encoder] = {}
 
@@ -76,7 +76,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.path, self.tokenizer = path, None
         split = {"type": "WhitespaceSplit"}
         signs = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         bare = spec | {"normalizer": None, "added_tokens": []}
@@ -88,6 +88,10 @@ class Encoder:
         self.kept = Kept()
 
     def one_by_one(self, items: list[str]) -> dict[str, bytes]:
+        if self.tokenizer is None:  # seldom needed, and 20 MB
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         got = self.tokenizer.encode_batch(items, add_special_tokens=False)
         return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(items, got)}
 
