@@ -4,9 +4,10 @@ A source's share of the total is its target; a document is taken floor(target /
 and once more with the fractional rest as inclusion probability. The flight phase moves the
 probabilities of three documents at a time along the null space of two constraints, tokens and
 documents, until one becomes 0 or 1; so both totals stay exact. Blocks of at most BLOCK documents of
-a source fly independently and leave two documents each; these fly again in larger steps until a
-source has one block. Its flight stops at LANDING documents, and the subset of these with the least
-token error lands.
+a source fly independently and leave two documents each, or more where a source has so few blocks that
+LANDING wouldn't be left of them; these fly again in larger steps until a source has one block, each
+source at its own level. Its flight stops at LANDING documents, and the subset of these with the least
+token error lands. Sizes of other sources thus change a source's target, never its flight.
 
 Draws come from the source and block, so reruns agree. Null sources come last in the order of
 weights and are one source; null and empty texts have size 0. An empty table gives an empty result.
@@ -99,26 +100,25 @@ def land(size: list[int], p: list[float], goal: float) -> None:
         p[k] = float(x)
 
 
-def _level(rows: DataFrame, shards: dict, level: int, last: bool) -> DataFrame:
-    """One flight over blocks; in the last, a source is one block and lands."""
+def _level(rows: DataFrame, shards: dict, level: int) -> DataFrame:
+    """One flight over blocks; a source of one block lands."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(s, n) for s, n in shards.items()], "src string, shards bigint")
+    # What a block's probabilities promise, where it is the whole source.
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
     salted = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(doc_id, {level}), shards)"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first").reset_index(drop=True)
         size, p = pdf["size"].tolist(), pdf["p"].tolist()
         rng = random.Random(f"{SEED}:{level}:{pdf['source'][0]}:{pdf['block'][0]}")
-        goal = pdf["goal"][0]
-        fly(size, p, rng, LANDING if last else 2)
-        if last:
-            land(size, p, goal)
+        blocks = int(pdf["shards"][0])
+        fly(size, p, rng, max(2, -(-LANDING // blocks)))
+        if blocks == 1:
+            land(size, p, pdf["goal"][0])
         return pdf.assign(p=p)[["doc_id", "source", "size", "p"]]
 
-    goal = salted.withColumn("goal", F.lit(0.0))
-    if last:  # what this block's probabilities promise
-        sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
-        goal = salted.join(F.broadcast(sums), salted["source"].eqNullSafe(sums["src"])).drop("src")
+    goal = salted.join(F.broadcast(sums), salted["source"].eqNullSafe(sums["src"])).drop("src")
     named = goal.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn null ids' column to floats
     flown = named.groupBy("source", "block").applyInPandas(run, "doc_id string, source string, size bigint, p double")
     return flown.withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -141,12 +141,11 @@ def plan(docs: DataFrame) -> DataFrame:
     counts = {s: n for s, (n, _) in totals.items() if 0.0 < rate[s] - int(rate[s]) < 1.0}
     done, level = [], 0
     while counts:
-        last = max(counts.values()) <= BLOCK
-        shards = {s: 1 if last else -(-n // BLOCK) for s, n in counts.items()}
-        flown = materialise(_level(live, shards, level, last))
+        shards = {s: -(-n // BLOCK) for s, n in counts.items()}
+        flown = materialise(_level(live, shards, level))
         done.append(flown.where("p = 0 or p = 1").select("doc_id", "source", "size", F.col("p").cast("int").alias("more")))
         live = flown.where("p > 0 and p < 1")
-        counts = {} if last else {r.source: r.n for r in live.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {r.source: r.n for r in live.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
         level += 1
     settled = spark.createDataFrame([], "doc_id bigint, source string, size bigint, more int")
     for d in done:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomseq.llm import mixing, packing, tiff, wordpiece
 
@@ -230,6 +231,17 @@ def test_plan(spark):
     assert seen == {k: n for k, n in times.items() if n} and mixed.columns == df.columns
 
 
+@pytest.mark.parametrize("counts", [{"a": 4000, "b": 900, "c": 900}, {"large": 3000, "two": 1100} | {f"s{k}": 300 for k in range(6)}])
+def test_small_sources_beside_a_large_one(spark, counts):
+    """A source of one block (b) lands with LANDING documents, however many blocks another has; one of
+    two blocks does so a level later."""
+    r = random.Random(12)
+    rows = [(s, "w " * int(r.paretovariate(1.1) * 40 % 4000)) for s, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    error = {x.source: abs(x.taken - x.target) for x in mixing.plan(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert set(error) == set(counts) and max(error.values()) <= 3, error
+
+
 def test_plan_small_and_empty(spark):
     schema = "doc_id bigint, text string, source string"
     assert mixing.plan(spark.createDataFrame([], schema)).count() == 0
