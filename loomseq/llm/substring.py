@@ -5,11 +5,14 @@ chunk ends where the hash's bits 8-15 are below CUT, with chance 1/5, so a chunk
 average. Those bits depend on the last 16 bytes alone: cuts inside a passage are the same in every
 document, and an insertion moves only the chunks that it touches. There is no forced cut.
 
-Chunks with the same digest are copies. A maximal run of copied chunks with MIN_WORDS or more words
-goes, except where the chunk stands first: in the smallest doc_id, and there at the first place.
-A passage loses up to a chunk at either end, so one of 50 words is found in 99 of 100 cases.
-
-Digests have 64 bits; a clash touches one chunk, and a run needs several. Nulls count as empty
+A window is the shortest sequence of neighbouring chunks from one on, or up to one, that has MIN_WORDS
+words. Windows with the same words are copies; a copied window goes, except where it stands first: in
+the smallest doc_id, and there at the first place. So every chunk that goes lies in MIN_WORDS or more
+consecutive words that stand in one earlier place; chunks that only occur here and there stay. Windows
+of both kinds cover all chunks inside a passage: it keeps up to a chunk at either end, and one of 50
+words is found in 99 of 100 cases.
+
+Digests have 64 bits; a clash touches one window. Nulls count as empty
 texts and stay null in dedup(); rows that repeat a doc_id are one document. Extra columns pass.
 """
 
@@ -81,6 +84,50 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "digest bigint, doc_id bigint, at int")
 
 
+def windows(words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Sorted windows [s, e) of chunks by their word counts: the shortest with enough words from each
+    chunk on, and up to each chunk. They start and end with chunks that have words."""
+    n = np.array(words, dtype=np.int64)
+    at = np.nonzero(n)[0]
+    ends = np.cumsum(n[at])
+    starts = ends - n[at]
+    last = np.searchsorted(ends, starts + least)
+    on = np.nonzero(last < len(at))[0]
+    first = np.searchsorted(starts, ends - least, side="right") - 1
+    to = np.nonzero(first >= 0)[0]
+    s, e = np.concatenate([at[on], at[first[to]]]), np.concatenate([at[last[on]], at[to]]) + 1
+    return sorted(set(zip(s.tolist(), e.tolist())))
+
+
+def window_digests(text: bytes) -> tuple[list[int], list[int], list[tuple[int, int]], list[int]]:
+    """Borders and word counts of the chunks; the windows and the digests of their words."""
+    flat = folded(text)
+    b = bounds(flat)
+    words = [flat[s:e].split() for s, e in zip(b, b[1:])]
+    n, line = [len(w) for w in words], [b" ".join(w) for w in words]
+    over = windows(n)
+    digest = xxhash.xxh3_64_intdigest
+    return b, n, over, [digest(b" ".join([x for x in line[s:e] if x])) - (1 << 63) for s, e in over]
+
+
+def window_rows(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, at) for each window, by its number in the text."""
+
+    def run(b: pa.RecordBatch):
+        d, i, a = [], [], []
+        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+            digests = window_digests(text)[3]
+            d += digests
+            i += [doc] * len(digests)
+            a += range(len(digests))
+            if len(d) > 200_000:
+                yield {"digest": d, "doc_id": i, "at": a}
+                d, i, a = [], [], []
+        yield {"digest": d, "doc_id": i, "at": a}
+
+    return map_batches(docs.select("doc_id", "text"), run, "digest bigint, doc_id bigint, at int")
+
+
 def runs(copied: list[bool], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Maximal runs [s, e) of copied chunks with enough words. Wordless chunks don't end a run."""
     out, k, n = [], 0, len(words)
@@ -100,33 +147,31 @@ def runs(copied: list[bool], words: list[int], least: int = MIN_WORDS) -> list[t
 
 
 def clean(text: bytes, doc: int, marks: dict[int, int]) -> tuple[bytes, list[tuple[int, int]], int, int, set[int]]:
-    """The text without copied runs, the byte spans that went, their words, the number of chunks,
-    and the documents that hold the first copies. marks: first document by chunk number."""
-    b, digests, words = chunks(text)
+    """The text without copied windows, the byte spans that went, their words, the number of chunks,
+    and the documents that hold the first copies. marks: first document by window number."""
+    b, words, over, digests = window_digests(text)
     seen: set[int] = set()
-    copied = []
-    for k, d in enumerate(digests):
-        copied.append(k in marks and (marks[k] != doc or d in seen))
+    copied, firsts = [False] * len(words), set()
+    for k, ((s, e), d) in enumerate(zip(over, digests)):
+        if k in marks and (marks[k] != doc or d in seen):
+            copied[s:e] = [True] * (e - s)
+            firsts.add(marks[k])
         seen.add(d)
-    gone = runs(copied, words)
-    kept, at, spans, firsts, lost = [], 0, [], set(), 0
-    for s, e in gone:
+    kept, at, spans, lost = [], 0, [], 0
+    for s, e in runs(copied, words):
         kept.append(text[at : b[s]])
         at = b[e]
         spans.append((b[s], b[e]))
-        for k in range(s, e):
-            if copied[k]:
-                firsts.add(marks[k])
-                lost += words[k]
+        lost += sum(words[s:e])
     kept.append(text[at:])
     return b"".join(kept), spans, lost, len(words), firsts
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, marks map<int, bigint>): chunks that stand elsewhere too, with the smallest doc_id
-    that has them. The chunk table is joined with the repeated digests only; both sides are dealt by
-    digest, and adaptive execution splits the digest of a very common line."""
-    rows = chunk_rows(docs)
+def marked(docs: DataFrame, rows_of=chunk_rows) -> DataFrame:
+    """(doc_id, marks map<int, bigint>): chunks (or other rows of a digest) that stand elsewhere too,
+    with the smallest doc_id that has them. The table is joined with the repeated digests only; both
+    sides are dealt by digest, and adaptive execution splits the digest of a very common line."""
+    rows = rows_of(docs)
     repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
     hits = rows.join(repeated, "digest").select("doc_id", "at", "first")
     pairs = F.collect_set(F.struct("at", "first"))
@@ -136,7 +181,7 @@ def marked(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Columns of docs with the cleaned text, and n_chunks, removed_words, removed_spans (bytes of
     the old text) and first_docs (documents that keep the removed passages)."""
-    marks, names = materialise(marked(docs)), docs.columns
+    marks, names = materialise(marked(docs, window_rows)), docs.columns
     both = docs.join(marks, "doc_id", "left")
     extra = "n_chunks int, removed_words int, removed_spans array<struct<start:int,end:int>>, first_docs array<bigint>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + extra

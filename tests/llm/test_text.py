@@ -81,6 +81,37 @@ def test_report(spark):
     assert substring.report(df.limit(0)).count() == 0
 
 
+def test_windows():
+    r = random.Random(6)
+    assert substring.windows([10, 6, 3]) == [(0, 2), (0, 3)] and substring.windows([20]) == [(0, 1)]
+    assert substring.windows([]) == substring.windows([14]) == [] and substring.windows([0, 9, 0, 9, 0]) == [(1, 4)]
+    for _ in range(300):
+        n = [r.choice([0, 1, 3, 5, 9, 16]) for _ in range(r.randrange(12))]
+        enough = [(s, e) for s in range(len(n)) for e in range(s + 1, len(n) + 1) if n[s] and n[e - 1] and sum(n[s:e]) >= 15]
+        shortest = {x for x in enough if x[1] == min(e for s, e in enough if s == x[0]) or x[0] == max(s for s, e in enough if e == x[1])}
+        assert substring.windows(n) == sorted(shortest)
+        if sum(n) >= 15:  # a passage's chunks are all covered
+            assert {k for s, e in shortest for k in range(s, e) if n[k]} == {k for k, x in enumerate(n) if x}
+
+
+def test_scattered_chunks_stay(spark):
+    """A text of chunks that each stand in some earlier document, but never next to one another."""
+    r = random.Random(9)
+    docs = {k: prose(r, 120) for k in range(20)}
+    parts = []
+    for t in docs.values():
+        raw = t.encode()
+        b, _, n = substring.chunks(raw)
+        k = next(k for k in range(3, len(n) - 1) if 4 <= n[k] < 12)
+        parts.append(raw[b[k] : b[k + 1]].decode())
+    docs[50] = "".join(parts)
+    known = {d for k in range(20) for d in substring.chunks(docs[k].encode())[1]}
+    _, d, n = substring.chunks(docs[50].encode())
+    assert substring.runs([x in known for x in d], n)  # single chunks would call it a copy
+    got = {x.doc_id: x for x in substring.report(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert all(got[k].text == t and got[k].removed_words == 0 for k, t in docs.items())
+
+
 def test_marks_match_counting(spark):
     """The joined marks are those of a plain dictionary over all chunks."""
     docs, _ = planted(random.Random(4))
