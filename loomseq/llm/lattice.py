@@ -10,7 +10,8 @@ in a table with probability 0.40, 0.53 and 0.79 and unrelated ones with 0.0002;
 the threshold itself and 0.99 from 0.93 on. The hash has no fitted part; every row is indexed.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing: they have no
-links and are their own component. Equal vectors enter the search once, and the copies count as
+links and are their own component. Vectors of different lengths don't link; each length is indexed apart,
+whatever else its batch holds. Equal vectors enter the search once, and the copies count as
 links. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,6 +21,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,18 +96,22 @@ class Tables:
         return np.stack(out, axis=1)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and the positions of their rows; unusable rows are left out."""
-    rows = column.to_pylist()
-    good = [k for k, v in enumerate(rows) if v]
-    dim = max((len(rows[k]) for k in good), default=0)
-    good = [k for k in good if len(rows[k]) == dim and None not in rows[k]]
-    x = np.array([rows[k] for k in good], dtype=np.float64).reshape(len(good), dim)
-    with np.errstate(over="ignore", invalid="ignore"):
-        top = np.abs(x).max(1, initial=0.0)
-        fine = np.isfinite(top) & (top > 0)
-    x, at = x[fine] / top[fine, None], np.array(good, dtype=np.int64)[fine]
-    return x / np.sqrt((x * x).sum(1))[:, None], at
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, unit vectors in double precision and the positions of their rows; unusable rows
+    are left out."""
+    rows, of_length, out = column.to_pylist(), {}, []
+    for k, v in enumerate(rows):
+        if v and None not in v:
+            of_length.setdefault(len(v), []).append(k)
+    for dim, good in sorted(of_length.items()):
+        x = np.array([rows[k] for k in good], dtype=np.float64).reshape(len(good), dim)
+        with np.errstate(over="ignore", invalid="ignore"):
+            top = np.abs(x).max(1, initial=0.0)
+            fine = np.isfinite(top) & (top > 0)
+        x, at = x[fine] / top[fine, None], np.array(good, dtype=np.int64)[fine]
+        if len(at):
+            out.append((x / np.sqrt((x * x).sum(1))[:, None], at))
+    return out
 
 
 def bucket_rows(vectors: DataFrame, **settings) -> DataFrame:
@@ -114,16 +120,15 @@ def bucket_rows(vectors: DataFrame, **settings) -> DataFrame:
     made: dict[int, Tables] = {}
 
     def run(b: pa.RecordBatch):
-        unit, at = _matrix(b.column("vector"))
-        if not len(at):
-            return
-        tables = made.setdefault(unit.shape[1], Tables(unit.shape[1], **settings))
-        cells = tables.cells(unit)
-        good = b.take(pa.array(at))
-        codes = pa.array(list(cells.reshape(len(at), -1)), type=pa.list_(pa.int64()))
-        for t in range(cells.shape[1]):
-            for p in range(cells.shape[2]):
-                yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "cells": codes, "home": np.full(len(at), p == 0)}
+        for unit, at in _matrices(b.column("vector")):
+            dim = unit.shape[1]
+            tables = made.setdefault(dim, Tables(dim, **settings))
+            cells = tables.cells(unit) ^ np.int64(dim << 32)  # lengths meet in no bucket
+            good = b.take(pa.array(at))
+            codes = pa.array(list(cells.reshape(len(at), -1)), type=pa.list_(pa.int64()))
+            for t in range(cells.shape[1]):
+                for p in range(cells.shape[2]):
+                    yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "cells": codes, "home": np.full(len(at), p == 0)}
 
     return map_batches(vectors.select("id", "vector", "weight"), run, f"key bigint, id bigint, weight bigint, vector {kind}, cells array<bigint>, home boolean", rows=1024)
 
@@ -133,14 +138,20 @@ def checker(threshold: float = THRESHOLD, tables: int = TABLES):
 
     def load(b: pa.RecordBatch):
         cells = np.asarray(b.column("cells").flatten()).reshape(b.num_rows, tables, -1)
-        v = np.asarray(b.column("vector").flatten()).reshape(b.num_rows, -1).astype(np.float64)
-        v /= np.abs(v).max(1)[:, None]
-        return cells, v / np.sqrt((v * v).sum(1))[:, None], b.column("home").to_numpy(zero_copy_only=False)
+        flat, size = np.asarray(b.column("vector").flatten()), np.asarray(pc.list_value_length(b.column("vector")))
+        start, place, units = np.cumsum(size) - size, np.zeros(len(size), np.int64), {}
+        for dim in np.unique(size).tolist():  # a matrix for each length
+            at = np.nonzero(size == dim)[0]
+            v = flat[start[at][:, None] + np.arange(dim)].astype(np.float64)
+            v /= np.abs(v).max(1)[:, None]
+            units[dim] = v / np.sqrt((v * v).sum(1))[:, None]
+            place[at] = np.arange(len(at))
+        return cells, (size, place, units), b.column("home").to_numpy(zero_copy_only=False)
 
     def verify(payload, ids, keys, i, j):
         """True in the first bucket that a pair shares, if its cosine reaches the threshold."""
-        cells, v, home = payload
-        ok = home[i] | home[j]
+        cells, (size, place, units), home = payload
+        ok = (home[i] | home[j]) & (size[i] == size[j])
         open_ = np.nonzero(ok)[0]
         for t in range(tables):  # pairs that met in an earlier table, or come first here in another cell
             a, b = cells[i[open_], t], cells[j[open_], t]
@@ -151,9 +162,11 @@ def checker(threshold: float = THRESHOLD, tables: int = TABLES):
             open_ = open_[~met]
         ok[open_] = False
         at = np.nonzero(ok)[0]
-        for c in range(0, len(at), 1 << 14):
-            k = at[c : c + (1 << 14)]
-            ok[k] = np.einsum("ij,ij->i", v[i[k]], v[j[k]]) >= threshold
+        for dim, v in units.items():
+            own = at[size[i[at]] == dim]
+            for c in range(0, len(own), 1 << 14):
+                k = own[c : c + (1 << 14)]
+                ok[k] = np.einsum("ij,ij->i", v[place[i[k]]], v[place[j[k]]]) >= threshold
         return ok
 
     return load, verify

@@ -222,6 +222,20 @@ def test_lattice_recall_at_threshold(spark):
     assert (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum()
 
 
+def test_lattice_of_mixed_lengths(spark):
+    """Each length links as it does alone, though one batch holds all."""
+    r = np.random.default_rng(11)
+    parts = {dim: np.concatenate([clusters(r, [(20, 0.1)] + [(2, 0.1)] * 10, dim), r.normal(size=(20, dim))]) for dim in (24, 64)}
+    schema, rows = "vec_id bigint, embedding array<double>", []
+    for base, x in zip((0, 1000), parts.values()):
+        rows.append([(base + k, v.tolist()) for k, v in enumerate(x)])
+    alone = sorted(tuple(x) for part in rows for x in lattice.classes(spark.createDataFrame(part, schema)).collect())
+    long = (5000, r.normal(size=300).tolist())
+    mixed = spark.createDataFrame(rows[0] + [long] + rows[1], schema).coalesce(1)
+    assert sorted(tuple(x) for x in lattice.classes(mixed).collect()) == [*alone, (5000, 0, 5000, True)]
+    assert sum(x[1] for x in alone) > 2 * 20 * 19
+
+
 def test_held_out(spark):
     import zlib
 
