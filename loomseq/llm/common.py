@@ -94,6 +94,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no taken column has, whatever its case."""
+    seen, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in seen:
+            w = "_" + w
+        seen.add(w.lower())
+        out.append(w)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in the (a, b) edges: root is the smallest id reachable.
 

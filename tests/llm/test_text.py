@@ -112,21 +112,73 @@ def test_scattered_chunks_stay(spark):
     assert all(got[k].text == t and got[k].removed_words == 0 for k, t in docs.items())
 
 
+def brute_force(rows):
+    """Text, spans and first documents by a plain dictionary over the windows of all documents."""
+    order = {}
+    for k, text, row in rows:
+        order[row] = (k is None, k if k is not None else 0, row)
+    first = {}
+    for k, text, row in rows:
+        for d in substring.window_digests((text or "").encode())[3]:
+            first[d] = min(first.get(d, (order[row], k)), (order[row], k), key=lambda x: x[0])
+    out = {}
+    for k, text, row in rows:
+        raw = (text or "").encode()
+        b, n, over, digests = substring.window_digests(raw)
+        gone, firsts = set(), set()
+        for (s, e), d in zip(over, digests):
+            if first[d][0] != order[row]:
+                gone |= set(range(s, e))
+                firsts.add(first[d][1])
+        spans = substring.runs([x in gone for x in range(len(n))], n)
+        keep, at = b"", 0
+        for s, e in spans:
+            keep, at = keep + raw[at : b[s]], b[e]
+        out[row] = (None if text is None else (keep + raw[at:]).decode(), [(b[s], b[e]) for s, e in spans], firsts)
+    return out
+
+
+def test_report_against_brute_force(spark):
+    """Ids that are null, or shared by different texts; passages at any place; texts without blanks;
+    columns named like the helpers."""
+    r = random.Random(4)
+    docs, passage = planted(r)
+    unspaced = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(900))
+    rows = list(docs.items()) + [(3, docs[20]), (3, "own " + passage), (None, passage + " end"), (None, prose(r, 60)), (None, docs[2]), (77, None), (None, None), (78, ""), (79, " \n")]
+    rows += [(60, unspaced), (61, "ab " + unspaced[100:800]), (62, unspaced), (80, "a" * 5000), (81, prose(r, 30_000)), (82, passage + " " + prose(r, 9))]
+    rows += [rows[5], (None, docs[2]), (77, None)]
+    df = spark.createDataFrame([(k, t, n, "x", 1) for n, (k, t) in enumerate(rows)], "doc_id bigint, text string, marks int, removed_words string, row int").repartition(7)
+    keyed = df.withColumn("key", substring.row_key()).select("marks", "key").collect()
+    key = {x.marks: x.key for x in keyed}
+    want = brute_force([(k, t, key[n]) for n, (k, t) in enumerate(rows)])
+    got = substring.report(df).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        text, spans, firsts = want[key[x.marks]]
+        assert x.text == text and [tuple(s) for s in x.removed_spans] == spans and set(x.first_docs) == firsts
+    texts = {x.marks: x.text for x in got}
+    assert texts[20] == "" and texts[40] == docs[20]  # the smaller id keeps it
+    inner = " ".join(passage.split()[25:45])
+    assert sorted([inner in texts[3], inner in texts[41]]) == [False, True] and inner not in texts[11] + texts[42]
+    assert len(texts[rows.index((61, "ab " + unspaced[100:800]))]) < 100 and texts[rows.index((62, unspaced))] == ""
+    left = substring.dedup(df)
+    assert left.columns == df.columns
+    gone = {n for n, (k, t) in enumerate(rows) if t and t.strip() and not texts[n].strip()}
+    assert {x.marks: (x.text, x.removed_words, x.row) for x in left.collect()} == {n: (texts[n], "x", 1) for n in range(len(rows)) if n not in gone}
+
+
 def test_marks_match_counting(spark):
-    """The joined marks are those of a plain dictionary over all chunks."""
+    """The joined marks are those of a plain dictionary over all windows."""
     docs, _ = planted(random.Random(4))
-    first, count = {}, {}
-    for k, t in docs.items():
-        _, d, n = substring.chunks(t.encode())
-        for x, w in zip(d, n):
-            if w:
-                first.setdefault(x, k)
-                count[x] = count.get(x, 0) + 1
+    first = {}
+    for k, t in sorted(docs.items()):
+        for x in substring.window_digests(t.encode())[3]:
+            first.setdefault(x, k)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(5)
-    got = {x.doc_id: x.marks for x in substring.marked(df).collect()}
+    named = {x.row: x.doc_id for x in df.select("doc_id", substring.row_key().alias("row")).collect()}
+    got = {named[x.row]: x.marks for x in substring.marked(df).collect()}
     for k, t in docs.items():
-        _, d, n = substring.chunks(t.encode())
-        assert got.get(k, {}) == {i: first[x] for i, (x, w) in enumerate(zip(d, n)) if w and count[x] > 1}
+        assert got.get(k, {}) == {x: first[x] for x in substring.window_digests(t.encode())[3] if first[x] != k}
 
 
 def test_repeated_rows_are_one_document(spark):
@@ -136,6 +188,12 @@ def test_repeated_rows_are_one_document(spark):
     assert got[0] == got[1]
 
 
+def test_what_a_document_repeats_in_itself_stays(spark):
+    line = prose(random.Random(8), 40)
+    df = spark.createDataFrame([(1, "\n".join([line] * 5)), (2, "other words")], "doc_id bigint, text string")
+    assert {x.removed_words for x in substring.report(df).collect()} == {0}
+
+
 # --- html ------------------------------------------------------------------------------------
 
 LONG = "A sentence, with commas, that is long enough to count as prose, really, in any article. "
