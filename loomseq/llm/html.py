@@ -3,19 +3,27 @@
 A page becomes a tree; elements that are never content go with all they hold. Each paragraph-like
 block earns points for its length and commas and hands them to its parent, half to the grandparent
 and a third above; a container's points are discounted by the share of its text that is inside
-links. The best container, or the article element around it, and those siblings that score well or read
-like prose are kept; lists and boxes in it that are nearly all links go.
+links, and raised a little for article and main. The best container, or the article element around it,
+and those siblings that score well or read like prose are kept; of an article element, sibling articles.
+
+Marks in class, id and role count by where they stand. Outside an article element one telling word
+removes a container; inside, and for paragraphs, headings and list items anywhere, all words of a mark
+must be telling or neutral ("comment-list", not "ad-hoc-methods" or "side-note"). Words that articles use
+themselves (DOUBTFUL) remove a container only where it holds no prose. Boxes that are nearly all links
+go, but not numbered lists and those under a heading in an article element: these are its references.
 
 Character references are decoded, white space inside a block becomes one blank, and blocks are
 joined by one newline in page order. Null and empty pages give the empty text; broken mark-up never
-fails. Rows that repeat are extracted each; extra columns are ignored.
+fails, and work grows in proportion to the page whatever its nesting. An unclosed quote ends at the next
+angle bracket, a comment or script that isn't closed at the page's end. Rows that repeat are extracted
+each; extra columns are ignored, an empty table gives an empty one, and pages are read whole.
 """
 
 from __future__ import annotations
 
+import gc
 import html as entities
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,142 +40,208 @@ CLOSED_BY = {  # an open element of the key ends where one of these starts
     "p": BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
-CLOSERS = frozenset().union(*CLOSED_BY.values())
+CLOSES = {name: [k for k, by in CLOSED_BY.items() if name in by] for name in frozenset().union(*CLOSED_BY.values())}
 LIMITS = frozenset("table td th ul ol dl article section div main body html blockquote".split())
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark what isn't the article.
-UNWANTED = frozenset(
+TELLING = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promotion banner nav navbar navigation "
-    "menu breadcrumb breadcrumbs header masthead footer foot sidebar aside rail widget notice notices cookie cookies consent gdpr "
-    "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus discussion replies reply respond "
-    "share sharing social related recommended recommendations trending pagination pager toolbar search complementary contentinfo hidden "
-    "side responses disclaimer copyright paywall skip".split()
+    "menu breadcrumb breadcrumbs masthead footer sidebar notice notices cookie cookies consent gdpr "
+    "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply "
+    "share sharing pagination pager toolbar paywall contentinfo".split()
+)
+#: Such words that articles use for parts of their own, too.
+DOUBTFUL = frozenset("header foot aside rail widget discussion respond social related recommended recommendations trending search complementary hidden side responses disclaimer copyright skip".split())
+#: Words that may stand beside telling ones in a mark.
+NEUTRAL = frozenset(
+    "box block container wrapper wrap section area list panel slot unit bar row top bottom left right inline links link form thread item items body text main inner outer "
+    "content module group button buttons icons post article entry page site user reader author the of for in on left right small large sticky fixed primary secondary".split()
 )
 #: Words that turn such a mark into a remark about the layout, as in "no-sidebar".
 LAYOUT = frozenset("has no with without".split())
 #: Whole classes that make an article element something else.
 NOT_ARTICLE = frozenset("comment reply response ad ads advert advertisement promo sponsored teaser related".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>", re.S)
+_QUOTED = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"(?<![^\s\"'/])([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Unlinked characters that make a block prose, and the gain of elements that name the article.
+PROSE, GAIN = 80, {"article": 1.5, "main": 1.2}
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "attrs", "points", "chars", "linked")
+    __slots__ = ("name", "parent", "kids", "attrs", "points", "chars", "linked", "commas", "links", "prose", "stays")
 
     def __init__(self, name, parent, attrs=None):
         self.name, self.parent, self.attrs = name, parent, attrs or {}
         self.kids: list = []
-        self.points = self.chars = self.linked = 0.0
+        self.points = 0.0
+        self.chars = self.linked = self.commas = self.links = self.prose = 0
+        self.stays = False
 
 
-def close(here: Node, upto: Node, opened: Counter) -> Node:
-    """End here and its parents up to and with `upto`."""
-    while True:
-        opened[here.name] -= 1
-        if here is upto:
-            return here.parent
-        here = here.parent
+class Open:
+    """The open elements, and where in them each name and each limit stands."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.of, self.limits = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.of.setdefault(node.name, []).append(at)
+        if node.name in LIMITS:
+            self.limits.append(at)
+
+    def last(self, name: str) -> int:
+        at = self.of.get(name)
+        return at[-1] if at else 0
+
+    def cut(self, upto: int) -> None:
+        """End all elements from this place on."""
+        while len(self.nodes) > upto:
+            self.of[self.nodes.pop().name].pop()
+        while self.limits[-1] >= upto:
+            self.limits.pop()
+
+
+def tag_end(page: str, at: int, quoted: bool) -> tuple[int, bool]:
+    """The end of the tag at this place, or 0, and whether quotes still count: once a quote swallows the
+    rest of the page, tags end at the next angle bracket."""
+    if quoted:
+        m = _QUOTED.match(page, at)
+        if m:
+            return m.end(), True
+    return page.find(">", at) + 1, False
 
 
 def parse(page: str) -> Node:
     """A forgiving tree: unknown ends are dropped, open elements end with their parents."""
     root = Node("#root", None)
-    at, here = 0, root
-    opened: Counter = Counter()  # names that are open, so that a stray end costs nothing
-    find = _TOKEN.search
+    opened, at, seen, quoted, n = Open(root), 0, 0, True, len(page)
     while True:
-        m = find(page, at)
-        if m is None:
+        start = page.find("<", seen)
+        if start < 0 or start + 1 >= n:
             break
-        if m.start() > at:
-            here.kids.append(page[at : m.start()])
-        token, at = m.group(), m.end()
-        named = _NAME.match(token)
-        if named is None:
+        sign = page[start + 1]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            end = n if end < 3 else end
+        elif sign in "!?":
+            end = page.find(">", start) + 1
+        elif sign.isascii() and (sign.isalpha() or sign == "/" and page[start + 2 : start + 3].isascii() and page[start + 2 : start + 3].isalpha()):
+            end, quoted = tag_end(page, start, quoted)
+        else:
+            seen = start + 1
+            continue
+        if not end:  # no angle bracket follows: the rest is text
+            break
+        here = opened.nodes[-1]
+        if start > at:
+            here.kids.append(page[at:start])
+        token = page[start:end]
+        at = seen = end
+        if sign in "!?":
             continue
+        named = _NAME.match(token)
         name = named.group(1).lower()
-        if token[1] == "/":
-            up = here if opened[name] else root
-            while up is not root and up.name != name:
-                if name not in BLOCKS and up.name in LIMITS:  # an inline end doesn't close a container
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = close(here, up, opened)
+        if sign == "/":
+            place = opened.last(name)
+            if place and (name in BLOCKS or place >= opened.limits[-1]):  # an inline end doesn't close a container
+                opened.cut(place)
             continue
-        if name in CLOSERS:
-            stop = here
-            while stop is not root and stop.name not in LIMITS and name not in CLOSED_BY.get(stop.name, ()):
-                stop = stop.parent
-            if name in CLOSED_BY.get(stop.name, ()):
-                here = close(here, stop, opened)
-        attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(token, named.end())} if "=" in token else {}
+        if name in CLOSES:
+            place = max(opened.last(k) for k in CLOSES[name])
+            if place and place >= opened.limits[-1]:
+                opened.cut(place)
+                here = opened.nodes[-1]
+        rest = named.end()
+        attrs = {}
+        if end - start - rest > 1:
+            for a, b, c, d in _ATTR.findall(token[:-1], rest):
+                attrs.setdefault(a.lower(), b or c or d or "")
         node = Node(name, here, attrs)
         here.kids.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            node.kids.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            node.kids.append(page[at : close.start() if close else n])
+            at = page.find(">", close.end()) + 1 if close else n
+            at = seen = at or n
         elif name not in VOID and not token.endswith("/>"):
-            here = node
-            opened[name] += 1
-    if at < len(page):
-        here.kids.append(page[at:])
+            opened.push(node)
+    if at < n:
+        opened.nodes[-1].kids.append(page[at:])
     return root
 
 
-def unwanted(node: Node, in_article: bool) -> bool:
-    if node.name in GONE or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
-        return True
+def mark(node: Node, in_article: bool) -> str | None:
+    """"gone" or "doubtful" by the element's name and marks."""
+    attrs = node.attrs
+    if node.name in GONE or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return "gone"
     if node.name == "header":
-        return not in_article
-    if node.name in ("html", "body", "h1"):
-        return False
+        return None if in_article else "gone"
+    if not attrs or node.name in ("html", "body", "h1"):
+        return None
     if node.name in ("article", "main"):
-        return not NOT_ARTICLE.isdisjoint(node.attrs.get("class", "").lower().split())
-    style = node.attrs.get("style", "").replace(" ", "").lower()
+        return None if NOT_ARTICLE.isdisjoint(attrs.get("class", "").lower().split()) else "gone"
+    style = attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
-    for mark in " ".join(node.attrs.get(a, "") for a in ("class", "id", "role", "aria-label")).lower().split():
-        words = _WORDS.findall(mark)
-        if not UNWANTED.isdisjoint(words) and LAYOUT.isdisjoint(words):
-            return True
-    return False
+        return "gone"
+    strict, found = in_article or node.name in SCORED, None
+    for m in " ".join(attrs.get(a, "") for a in ("class", "id", "role", "aria-label")).split():
+        words = {w.lower() for w in _WORDS.findall(m)}
+        if not LAYOUT.isdisjoint(words):
+            continue
+        telling = words & TELLING
+        if telling and (not strict or words <= TELLING | DOUBTFUL | NEUTRAL):
+            return "gone"
+        if node.name not in SCORED and not DOUBTFUL.isdisjoint(words) and (not strict or words <= DOUBTFUL | NEUTRAL):
+            found = "doubtful"
+    return found
 
 
 def prune(root: Node) -> None:
-    """Drop unwanted elements and count text and linked text of the others."""
-    stack = [(root, False, False)]
-    order = []
+    """Drop unwanted elements; count text, linked text, commas, links and prose of the others."""
+    stack, order = [(root, False, False)], []
+    doubtful: set[int] = set()
     while stack:
         node, article, link = stack.pop()
-        order.append((node, link))
-        article = article or node.name in ("article", "main")
         link = link or node.name == "a"
-        node.kids = [k for k in node.kids if isinstance(k, str) or not unwanted(k, article)]
-        stack += [(k, article, link) for k in node.kids if not isinstance(k, str)]
+        article = article or node.name == "article"
+        order.append((node, link))
+        kids, before = [], ""
+        for k in node.kids:
+            if not isinstance(k, str):
+                k.stays = node.stays or article and (k.name in ("ol", "dl") or before in HEADINGS)
+                before = k.name
+                m = mark(k, article)
+                if m == "gone":
+                    continue
+                if m:
+                    doubtful.add(id(k))
+                stack.append((k, article, link))
+            kids.append(k)
+        node.kids = kids
     for node, link in reversed(order):
+        kept = []
         for k in node.kids:
             if isinstance(k, str):
                 n = len(k.strip())
                 node.chars += n
-                node.linked += n if link or node.name == "a" else 0
+                node.linked += n if link else 0
+                node.commas += k.count(",")
+            elif id(k) in doubtful and (not k.prose or density(k) > 0.5):
+                continue
             else:
                 node.chars += k.chars
                 node.linked += k.linked
-
-
-def plain(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        k = stack.pop()
-        if isinstance(k, str):
-            out.append(k)
-        else:
-            stack += reversed(k.kids)
-    return "".join(out)
+                node.commas += k.commas
+                node.links += k.links + (k.name == "a")
+                node.prose += k.prose
+            kept.append(k)
+        node.kids = kept
+        node.prose += node.name in SCORED and not node.prose and node.chars - node.linked >= PROSE
 
 
 def density(node: Node) -> float:
@@ -180,40 +254,29 @@ def score(root: Node) -> list[Node]:
     stack = [root]
     while stack:
         node = stack.pop()
-        kids = [k for k in node.kids if not isinstance(k, str)]
-        stack += kids
-        loose = node.name in ("div", "section", "article", "main", "body") and any(isinstance(k, str) and k.strip() for k in node.kids)
-        if node.name not in SCORED and not loose:
+        stack += [k for k in node.kids if not isinstance(k, str)]
+        if node.name in SCORED:
+            size, commas, up = node.chars, node.commas, node.parent
+        elif node.name in ("div", "section", "article", "main", "body"):
+            own = [k for k in node.kids if isinstance(k, str)]
+            size, commas, up = sum(len(k.strip()) for k in own), sum(k.count(",") for k in own), node
+        else:
             continue
-        text = plain(node) if node.name in SCORED else "".join(k for k in node.kids if isinstance(k, str))
-        size = len(text.strip())
         if not size:
             continue
-        points = (1.0 + text.count(",") + min(size / 100.0, 3.0)) * (1.0 - density(node))
-        up, share = (node if loose else node.parent), 1
+        points, share = (1.0 + commas + min(size / 100.0, 3.0)) * (1.0 - density(node)), 1
         while up is not None and share <= 4:
             up.points += points / share
             found[id(up)] = up
             up, share = up.parent, share + 1
-    bonus = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0}
     for node in found.values():
-        node.points = (node.points + bonus.get(node.name, 0.0)) * (1.0 - density(node))
+        node.points *= GAIN.get(node.name, 1.0) * (1.0 - density(node))
     return list(found.values())
 
 
 LINK_BOXES = frozenset("ul ol dl table div section".split())
 
 
-def links(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for k in stack.pop().kids:
-            if not isinstance(k, str):
-                n += k.name == "a"
-                stack.append(k)
-    return n
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order."""
     out: list[str] = []
@@ -236,7 +299,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             parts.append(" ")
         elif k.name in BLOCKS:
             flush()
-            if k.name in LINK_BOXES and k.chars and density(k) > 0.8 and links(k) > 1:
+            if k.name in LINK_BOXES and not k.stays and density(k) > 0.8 and k.links > 1:
                 continue
             stack.append(None)
             stack += reversed(k.kids)
@@ -248,26 +311,36 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 def extract(page: str) -> str:
     """The main text; without any container that scores, all text that is left after pruning."""
-    root = parse(page)
+    on = gc.isenabled()
+    gc.disable()  # a page's tree is alive until its end, and looking for garbage in it costs more than making it
+    try:
+        return main_blocks(parse(page))
+    finally:
+        if on:
+            gc.enable()
+
+
+def main_blocks(root: Node) -> str:
     prune(root)
     named = score(root)
     if not named:
         return "\n".join(blocks([root]))
     best = max(named, key=lambda n: n.points)
-    up = best
+    points, up = best.points, best
     while up is not None and up.name != "article":
         up = up.parent
     best = up or best  # a part of an article stands for all of it
     keep = [best]
-    if best.parent is not None and best.name not in ("body", "html", "article", "main"):
-        least = max(10.0, 0.2 * best.points)
+    if best.parent is not None and best.name not in ("body", "html", "main"):
+        least = max(10.0, 0.2 * points)
         keep = []
         for k in best.parent.kids:
             if isinstance(k, str):
                 continue
-            prose = k.name == "p" and (k.chars > 80 and density(k) < 0.25 or k.chars and not k.linked)
+            prose = k.name == "p" and (k.chars > PROSE and density(k) < 0.25 or k.chars and not k.linked)
             heading = k.name in ("h1", "h2") and density(k) < 0.25
-            if k is best or k.points >= least or prose or heading:
+            alike = k.name == "article" or best.name != "article"
+            if k is best or alike and k.points >= least or best.name != "article" and (prose or heading):
                 keep.append(k)
     return "\n".join(blocks(keep))
 

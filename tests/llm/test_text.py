@@ -1,6 +1,7 @@
 """Substring dedup, HTML extraction, language and the fitted scores."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +235,42 @@ def test_deep_and_long_pages():
     assert len(html.extract("<p>" + "word, " * 200_000)) == 1_199_999
 
 
+@pytest.mark.parametrize("part", ["<b ", '<b ">" ', "<ul><li>word, ", "<blockquote>some words, ", "<i><hr>", "</script ", "<a '", "<!--", "<div><a href=x>a</a>", "<td>", "&#", '<div class="related">'])
+def test_work_grows_with_the_page(part):
+    times = []
+    for n in (50_000, 400_000):
+        page = part * (n // len(part))
+        began = time.perf_counter()
+        html.extract(page)
+        html.extract("<b>" + "<i>" * (n // 8) + "</b>" * (n // 8) + page)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 20 * times[0] + 1.0  # eight times the text; a scan to the end for each part would take 64
+
+
+def test_parts_of_an_article_stay():
+    refs = "<h2>References</h2><ul><li><a href=a>One, A. (1999)</a></li><li><a href=b>Two, B. (2001)</a></li></ul>"
+    body = f"<h1>T</h1><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section><p class='side-note'>An aside.</p><section id='ad-hoc-methods'><p>Methods</p></section>{refs}"
+    gone = "<div class='comment-list'><div class='comment'><p>Reader, long and wordy, says</p></div></div><div class='share-buttons'>Share</div><aside>More</aside><div class='related'><a href=x>Another</a></div><div id='responses'>None yet</div>"
+    want = ["T", LONG.strip(), "Discussion", LONG.strip(), "An aside.", "Methods", "References", "One, A. (1999)", "Two, B. (2001)"]
+    assert html.extract(f"<body><nav><a href=x>m</a></nav><article>{body}{gone}</article><footer>f</footer></body>").split("\n") == want
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul>"
+    assert html.extract(f"<body><div>{menu}<p>{LONG}</p><p class='side-note'>An aside.</p></div></body>").split("\n") == [LONG.strip(), "An aside."]
+
+
+def test_scores_decide_between_containers():
+    prose = "".join(f"<p>{LONG}{k}</p>" for k in range(5))
+    teaser = "<article class='card'><p>Read this, too.</p></article>"
+    assert html.extract(f"<body><div>{prose}</div>{teaser}</body>").split("\n") == [LONG + str(k) for k in range(5)]
+    split = f"<body><div><article>{prose}</article><article><p>{LONG}b</p>{prose}</article></div><p>Imprint</p></body>"
+    assert len(html.extract(split).split("\n")) == 11 and "Imprint" not in html.extract(split)
+
+
+def test_broken_tags():
+    assert html.extract("<p>one <b two") == "one <b two"
+    assert html.extract('<p><a href="x>y">one</a> <a title=">two</a> 3') == "one two 3"
+    assert html.extract("<p hidden>no</p><p>yes < 3 </ 4") == "yes < 3 </ 4"
+
+
 def test_main_text(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "a"), (2, None, None, "b"), (1, "u", PAGE, "c")], "page_id bigint, url string, html string, text string")
     got = html.main_text(df).collect()
