@@ -3,16 +3,25 @@
 Each table projects unit vectors onto random orthonormal directions, eight for each of LATTICES E8
 lattices, and decodes to the nearest lattice points; together they are the home cell. A vector also
 probes the PROBES neighbouring cells that lie closest. Two vectors meet where one's home is the
-other's home or probe, and are checked by cosine in double precision.
+other's home or probe.
 
-With scale 0.3, two lattices, three probes and six tables, pairs of cosine 0.90, 0.93 and 0.97 meet
-in a table with probability 0.40, 0.53 and 0.79 and unrelated ones with 0.0002; so recall is 0.95 at
-the threshold itself and 0.99 from 0.93 on. The hash has no fitted part; every row is indexed.
+A projection of a unit vector has a spread of one over the root of the dimension, so the lattice is scaled
+by SCALE over that root (over that of all directions, where the dimension is smaller). Then with two
+lattices, three probes and six tables pairs of cosine 0.90 and 0.93 meet in some table with probability
+0.95 and 0.99 in any dimension from 8 on, and unrelated ones with 0.001 to 0.004 (0.011 in 8 dimensions,
+where they are often near). The hash has no fitted part; every row is indexed.
+
+Those that meet are compared twice. First by SKETCH signs of random projections, which travel with the
+cells: a row of a cell is 33 bytes, whatever the dimension. At the threshold 18 of 128 signs differ, give
+or take 4, and pairs with 42 or fewer pass; of unrelated ones 5 in 100,000 do. Only vectors with such a
+partner are dealt out again, with all their components, for cosines in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing: they have no
 links and are their own component. Vectors of different lengths don't link; each length is indexed apart,
-whatever else its batch holds. Equal vectors enter the search once, and the copies count as
-links. An empty table gives an empty result; other columns are ignored.
+whatever else its batch holds. Equal vectors are one node in the search, and the copies count as
+links; rows that share an id but not the vector, and rows without an id, are searched like others. The
+component of vectors without any id is null, and rows without an id aren't kept. An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +37,8 @@ from pyspark.sql import functions as F
 from loomseq.llm.buckets import linked
 from loomseq.llm.common import components, map_batches, materialise
 
-THRESHOLD, TABLES, LATTICES, PROBES, SCALE, SEED = 0.9, 6, 2, 3, 0.3, 8
+THRESHOLD, TABLES, LATTICES, PROBES, SCALE, SEED = 0.9, 6, 2, 3, 2.4, 8
+SKETCH, DIFFER = 128, 42
 
 
 def minimal_vectors() -> np.ndarray:
@@ -74,7 +84,8 @@ class Tables:
         self.turn = [np.linalg.qr(r.normal(size=(max(dim, k), k)))[0][:dim] for _ in range(tables)]
         self.shift = r.uniform(0, 1, size=(tables, k))
         self.mix = r.integers(1, 1 << 62, size=(tables, k), dtype=np.int64) | 1
-        self.lattices, self.probes, self.scale = lattices, probes, scale
+        self.lattices, self.probes, self.scale = lattices, probes, scale / np.sqrt(max(dim, k))
+        self.signs = r.normal(size=(dim, SKETCH))
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables, 1 + probes) cell numbers, the home cell first. Cells are hashed to 64 bits;
@@ -96,6 +107,20 @@ class Tables:
         return np.stack(out, axis=1)
 
 
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """(rows, SKETCH / 64) signs of random projections."""
+        return np.packbits(unit @ self.signs > 0, axis=1).view(np.int64)
+
+
+_made: dict[int, Tables] = {}
+
+
+def tables_of(dim: int) -> Tables:
+    if dim not in _made:
+        _made[dim] = Tables(dim)
+    return _made[dim]
+
+
 def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, unit vectors in double precision and the positions of their rows; unusable rows
     are left out."""
@@ -114,59 +139,80 @@ def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def bucket_rows(vectors: DataFrame, **settings) -> DataFrame:
-    """(key, id, vector, cells, home): a row for the home cell and each probe of each table."""
+def cell_rows(vectors: DataFrame) -> DataFrame:
+    """(key, id, home, s0, s1) from (id, vector): a row for the home cell and each probe of each table."""
+
+    def run(b: pa.RecordBatch):
+        for unit, at in _matrices(b.column("vector")):
+            tables = tables_of(unit.shape[1])
+            cells, signs = tables.cells(unit) ^ np.int64(unit.shape[1] << 32), tables.sketch(unit)  # lengths meet in no bucket
+            ids = b.column("id").take(pa.array(at))
+            for t in range(cells.shape[1]):
+                for p in range(cells.shape[2]):
+                    yield {"key": cells[:, t, p], "id": ids, "home": np.full(len(at), p == 0), "s0": signs[:, 0], "s1": signs[:, 1]}
+
+    return map_batches(vectors.select("id", "vector"), run, "key bigint, id bigint, home boolean, s0 bigint, s1 bigint", rows=1024)
+
+
+def _load_sketch(b: pa.RecordBatch):
+    signs = np.stack([np.asarray(b.column(c)) for c in ("s0", "s1")], axis=1).view(np.uint64)
+    return signs, b.column("home").to_numpy(zero_copy_only=False)
+
+
+def _near_sketch(payload, ids, keys, i, j):
+    signs, home = payload
+    ok = home[i] | home[j]
+    at = np.nonzero(ok)[0]
+    ok[at] = np.bitwise_count(signs[i[at]] ^ signs[j[at]]).sum(1, dtype=np.int64) <= DIFFER
+    return ok
+
+
+def bucket_rows(vectors: DataFrame) -> DataFrame:
+    """(key, id, weight, vector, home): the cells once more, with the whole vectors."""
     kind = vectors.schema["vector"].dataType.simpleString()
-    made: dict[int, Tables] = {}
 
     def run(b: pa.RecordBatch):
         for unit, at in _matrices(b.column("vector")):
-            dim = unit.shape[1]
-            tables = made.setdefault(dim, Tables(dim, **settings))
-            cells = tables.cells(unit) ^ np.int64(dim << 32)  # lengths meet in no bucket
+            cells = tables_of(unit.shape[1]).cells(unit) ^ np.int64(unit.shape[1] << 32)
             good = b.take(pa.array(at))
-            codes = pa.array(list(cells.reshape(len(at), -1)), type=pa.list_(pa.int64()))
             for t in range(cells.shape[1]):
                 for p in range(cells.shape[2]):
-                    yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "cells": codes, "home": np.full(len(at), p == 0)}
+                    yield {"key": cells[:, t, p], "id": good.column("id"), "weight": good.column("weight"), "vector": good.column("vector"), "home": np.full(len(at), p == 0)}
 
-    return map_batches(vectors.select("id", "vector", "weight"), run, f"key bigint, id bigint, weight bigint, vector {kind}, cells array<bigint>, home boolean", rows=1024)
+    return map_batches(vectors.select("id", "vector", "weight"), run, f"key bigint, id bigint, weight bigint, vector {kind}, home boolean", rows=1024)
 
 
-def checker(threshold: float = THRESHOLD, tables: int = TABLES):
+def checker(threshold: float = THRESHOLD):
     """The payload reader and the pair test for buckets.linked()."""
 
     def load(b: pa.RecordBatch):
-        cells = np.asarray(b.column("cells").flatten()).reshape(b.num_rows, tables, -1)
-        flat, size = np.asarray(b.column("vector").flatten()), np.asarray(pc.list_value_length(b.column("vector")))
-        start, place, units = np.cumsum(size) - size, np.zeros(len(size), np.int64), {}
-        for dim in np.unique(size).tolist():  # a matrix for each length
-            at = np.nonzero(size == dim)[0]
-            v = flat[start[at][:, None] + np.arange(dim)].astype(np.float64)
-            v /= np.abs(v).max(1)[:, None]
-            units[dim] = v / np.sqrt((v * v).sum(1))[:, None]
+        size = np.asarray(pc.list_value_length(b.column("vector")))
+        place, units = np.zeros(len(size), np.int64), {}
+        for unit, at in _matrices(b.column("vector")):  # a matrix for each length
+            dim = unit.shape[1]
+            units[dim] = unit, tables_of(dim).cells(unit) ^ np.int64(dim << 32)
             place[at] = np.arange(len(at))
-        return cells, (size, place, units), b.column("home").to_numpy(zero_copy_only=False)
+        return (size, place, units), b.column("home").to_numpy(zero_copy_only=False)
 
     def verify(payload, ids, keys, i, j):
         """True in the first bucket that a pair shares, if its cosine reaches the threshold."""
-        cells, (size, place, units), home = payload
-        ok = (home[i] | home[j]) & (size[i] == size[j])
-        open_ = np.nonzero(ok)[0]
-        for t in range(tables):  # pairs that met in an earlier table, or come first here in another cell
-            a, b = cells[i[open_], t], cells[j[open_], t]
-            ab, ba = (a[:, :1] == b).any(1), (b[:, :1] == a).any(1)
-            here = np.where(ab & ba, np.minimum(a[:, 0], b[:, 0]), np.where(ab, a[:, 0], b[:, 0]))
-            met = ab | ba
-            ok[open_[met & (here != keys[i[open_]])]] = False
-            open_ = open_[~met]
-        ok[open_] = False
-        at = np.nonzero(ok)[0]
-        for dim, v in units.items():
-            own = at[size[i[at]] == dim]
+        (size, place, units), home = payload
+        ok = np.zeros(len(i), bool)
+        fits = (home[i] | home[j]) & (size[i] == size[j])
+        for dim, (v, cells) in units.items():
+            own = np.nonzero(fits & (size[i] == dim))[0]
             for c in range(0, len(own), 1 << 14):
                 k = own[c : c + (1 << 14)]
-                ok[k] = np.einsum("ij,ij->i", v[place[i[k]]], v[place[j[k]]]) >= threshold
+                a, b = place[i[k]], place[j[k]]
+                near = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
+                k, a, b = k[near], a[near], b[near]
+                open_ = np.ones(len(k), bool)
+                for t in range(cells.shape[1]):  # the first table where they meet, there the first cell
+                    x, y = cells[a, t], cells[b, t]
+                    ab, ba = (x[:, :1] == y).any(1), (y[:, :1] == x).any(1)
+                    here = np.where(ab & ba, np.minimum(x[:, 0], y[:, 0]), np.where(ab, x[:, 0], y[:, 0]))
+                    ok[k[open_ & (ab | ba) & (here == keys[i[k]])]] = True
+                    open_ &= ~(ab | ba)
         return ok
 
     return load, verify
@@ -175,27 +221,31 @@ def checker(threshold: float = THRESHOLD, tables: int = TABLES):
 def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of the table."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
-    # Equal vectors are one node, the smallest id; -0.0 and 0.0 are the same number.
-    same = F.md5(F.concat_ws(",", F.transform("vector", lambda x: F.coalesce((x.cast("double") + F.lit(0.0)).cast("string"), F.lit("null")))))
+    # Equal vectors are one node, named by a hash; a second one makes sure. -0.0 and 0.0 are the same number.
+    number = F.transform("vector", lambda x: x.cast("double") + F.lit(0.0))
     usable = F.coalesce(F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
-    marked = materialise(rows.withColumns({"usable": usable, "same": F.when(usable, same)}))
+    hashed = rows.withColumn("usable", usable).withColumns({
+        "id": F.when(F.col("usable"), F.xxhash64(F.size("vector"), number)), "same": F.when(F.col("usable"), F.xxhash64(number, F.lit(1))),
+    })
+    marked = materialise(hashed.select("vec_id", "id", "same"))
     nodes = materialise(
-        marked.where("usable").groupBy("same").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    )
-    reps = (
-        marked.join(nodes.select(F.col("id").alias("vec_id"), "same", F.col("copies").alias("weight")), ["vec_id", "same"])
-        .select(F.col("vec_id").alias("id"), "vector", "weight").dropDuplicates(["id"])
+        marked.where("id is not null").groupBy("id", "same").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     )
+    one = hashed.where("usable").select("id", "vector").dropDuplicates(["id"])
+    wide = linked(cell_rows(one), _load_sketch, _near_sketch).select("id").distinct()
+    wanted = materialise(nodes.join(wide, "id").select("id", F.col("copies").alias("weight")))
+    live = materialise(hashed.where("usable").select("id", "vector").join(wanted, "id").dropDuplicates(["id"]))
     load, verify = checker(threshold)
-    found = materialise(linked(bucket_rows(reps), load, verify))
+    found = materialise(linked(bucket_rows(live), load, verify))
     partners = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = (
-        nodes.join(partners, "id", "left").join(roots, "id", "left")
-        .select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = nodes.join(partners, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(
+        known.join(least, "root").select("id", "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
-    component = F.coalesce("component_id", "vec_id")
-    return marked.join(known, "same", "left").select(
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return marked.join(named, ["id", "same"], "left").select(
         F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )

@@ -236,6 +236,40 @@ def test_lattice_of_mixed_lengths(spark):
     assert sum(x[1] for x in alone) > 2 * 20 * 19
 
 
+@pytest.mark.parametrize("dim", [16, 64, 384, 768])
+def test_lattice_meets_in_any_dimension(dim):
+    """At the threshold nine tenths meet and pass the sketch; of unrelated pairs fewer than one in a hundred meet."""
+    r, t = np.random.default_rng(12), lattice.tables_of(dim)
+    a, z = r.normal(size=(2, 600, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    z -= (z * a).sum(1)[:, None] * a
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    b = 0.9 * a + np.sqrt(1 - 0.81) * z
+
+    def met(x, y):
+        return ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+
+    x, y = t.cells(a), t.cells(b)
+    assert met(x, y).mean() >= 0.9
+    assert (np.bitwise_count((t.sketch(a) ^ t.sketch(b)).view(np.uint64)).sum(1) <= lattice.DIFFER).all()
+    assert np.mean([met(x, np.roll(x, k, axis=0)).mean() for k in range(1, 40)]) < 0.01
+
+
+def test_lattice_of_repeated_and_missing_ids(spark):
+    """Different vectors under one id, equal vectors, and rows without an id are searched like others."""
+    r = np.random.default_rng(13)
+    c = r.normal(size=(3, 32))
+    near = lambda k: (c[k] + 0.02 * r.normal(size=32)).tolist()
+    rows = [(4, near(0)), (4, near(1)), (9, near(0)), (7, near(1)), (None, near(0)), (None, near(2)), (None, near(2)), (1, None), (None, None)]
+    rows.append((9, rows[2][1]))
+    got = lattice.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    count = lambda *x: sum(tuple(g) == x for g in got)
+    assert len(got) == len(rows)
+    assert count(4, 3, 4, True) == 1 and count(9, 3, 4, False) == 2 and count(None, 3, 4, False) == 1
+    assert count(4, 1, 4, True) == 1 and count(7, 1, 4, False) == 1 and count(None, 1, None, False) == 2
+    assert count(1, 0, 1, True) == 1 and count(None, 0, None, False) == 1
+
+
 def test_held_out(spark):
     import zlib
 
