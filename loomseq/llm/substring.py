@@ -178,16 +178,20 @@ def row_key():
 
 def marked(docs: DataFrame) -> DataFrame:
     """(row, marks map<bigint, bigint>): by row_key(), digests of windows that stand in an earlier
-    document too, with the doc_id of the first. The windows are written once; the table is joined with
-    the repeated digests only. Both sides are dealt by digest after partial aggregation, and adaptive
-    execution splits the digest of a very common line."""
-    rows = materialise(window_rows(docs.select("doc_id", "text", row_key().alias("row"))))
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row"))
-    repeated = (
-        rows.groupBy("digest").agg(first.alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
-        .select("digest", F.col("first.doc_id").alias("first"), F.col("first.row").alias("head"))
-    )
-    hits = rows.select("digest", "row").join(repeated, "digest").where("row <> head")
+    document too, with the doc_id of the first. The table is joined with the repeated digests only; both
+    sides are dealt by digest after partial aggregation, and adaptive execution splits the digest of a very
+    common line. Windows are cut once for either side: written, they would take more disk than the cuts
+    take time. Where no two texts share an id, ids alone give the order, which hashes aggregate in place."""
+    keyed = docs.select("doc_id", "text", row_key().alias("row"))
+    both = [F.min("row").alias("low"), F.max("row").alias("high")]
+    rows = window_rows(keyed)
+    if keyed.groupBy("doc_id").agg(*both).where("low <> high").isEmpty():
+        repeated = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), *both).where("low <> high").select("digest", "first")
+        hits = rows.join(repeated, "digest").where("not doc_id <=> first")
+    else:
+        first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
+        repeated = rows.groupBy("digest").agg(first, *both).where("low <> high")
+        hits = rows.join(repeated.select("digest", F.col("first.doc_id").alias("first"), F.col("first.row").alias("head")), "digest").where("row <> head")
     return hits.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("digest", "first"))).alias("marks"))
 
 
