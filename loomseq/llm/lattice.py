@@ -12,9 +12,9 @@ lattices, three probes and six tables pairs of cosine 0.90 and 0.93 meet in some
 where they are often near). The hash has no fitted part; every row is indexed.
 
 Those that meet are compared twice. First by SKETCH signs of random projections, which travel with the
-cells: a row of a cell is 33 bytes, whatever the dimension. At the threshold 18 of 128 signs differ, give
-or take 4, and pairs with 42 or fewer pass; of unrelated ones 5 in 100,000 do. Only vectors with such a
-partner are dealt out again, with all their components, for cosines in double precision.
+cells: a row of a cell is 49 bytes, whatever the dimension. At the threshold 37 of 256 signs differ, give
+or take 6, and pairs with 66 or fewer pass, which one of ten million at 0.9 misses and few below 0.6 do.
+Only vectors with such a partner are dealt out again, with all components, for cosines in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing: they have no
 links and are their own component. Vectors of different lengths don't link; each length is indexed apart,
@@ -38,7 +38,8 @@ from loomseq.llm.buckets import linked
 from loomseq.llm.common import components, map_batches, materialise
 
 THRESHOLD, TABLES, LATTICES, PROBES, SCALE, SEED = 0.9, 6, 2, 3, 2.4, 8
-SKETCH, DIFFER = 128, 42
+SKETCH, DIFFER = 256, 66
+_SIGNS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 def minimal_vectors() -> np.ndarray:
@@ -140,7 +141,7 @@ def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def cell_rows(vectors: DataFrame) -> DataFrame:
-    """(key, id, home, s0, s1) from (id, vector): a row for the home cell and each probe of each table."""
+    """(key, id, home, signs) from (id, vector): a row for the home cell and each probe of each table."""
 
     def run(b: pa.RecordBatch):
         for unit, at in _matrices(b.column("vector")):
@@ -149,13 +150,13 @@ def cell_rows(vectors: DataFrame) -> DataFrame:
             ids = b.column("id").take(pa.array(at))
             for t in range(cells.shape[1]):
                 for p in range(cells.shape[2]):
-                    yield {"key": cells[:, t, p], "id": ids, "home": np.full(len(at), p == 0), "s0": signs[:, 0], "s1": signs[:, 1]}
+                    yield {"key": cells[:, t, p], "id": ids, "home": np.full(len(at), p == 0)} | dict(zip(_SIGNS, signs.T))
 
-    return map_batches(vectors.select("id", "vector"), run, "key bigint, id bigint, home boolean, s0 bigint, s1 bigint", rows=1024)
+    return map_batches(vectors.select("id", "vector"), run, "key bigint, id bigint, home boolean" + "".join(f", {c} bigint" for c in _SIGNS), rows=1024)
 
 
 def _load_sketch(b: pa.RecordBatch):
-    signs = np.stack([np.asarray(b.column(c)) for c in ("s0", "s1")], axis=1).view(np.uint64)
+    signs = np.stack([np.asarray(b.column(c)) for c in _SIGNS], axis=1).view(np.uint64)
     return signs, b.column("home").to_numpy(zero_copy_only=False)
 
 
@@ -188,9 +189,8 @@ def checker(threshold: float = THRESHOLD):
     def load(b: pa.RecordBatch):
         size = np.asarray(pc.list_value_length(b.column("vector")))
         place, units = np.zeros(len(size), np.int64), {}
-        for unit, at in _matrices(b.column("vector")):  # a matrix for each length
-            dim = unit.shape[1]
-            units[dim] = unit, tables_of(dim).cells(unit) ^ np.int64(dim << 32)
+        for unit, at in _matrices(b.column("vector")):  # a matrix for each length; cells are found when they are asked for
+            units[unit.shape[1]] = unit, np.zeros((len(at), TABLES, 1 + PROBES), np.int64), np.zeros(len(at), bool)
             place[at] = np.arange(len(at))
         return (size, place, units), b.column("home").to_numpy(zero_copy_only=False)
 
@@ -199,13 +199,17 @@ def checker(threshold: float = THRESHOLD):
         (size, place, units), home = payload
         ok = np.zeros(len(i), bool)
         fits = (home[i] | home[j]) & (size[i] == size[j])
-        for dim, (v, cells) in units.items():
+        for dim, (v, cells, known) in units.items():
             own = np.nonzero(fits & (size[i] == dim))[0]
             for c in range(0, len(own), 1 << 14):
                 k = own[c : c + (1 << 14)]
                 a, b = place[i[k]], place[j[k]]
                 near = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
                 k, a, b = k[near], a[near], b[near]
+                new = np.unique(np.concatenate([a, b]))
+                new = new[~known[new]]
+                if len(new):
+                    cells[new], known[new] = tables_of(dim).cells(v[new]) ^ np.int64(dim << 32), True
                 open_ = np.ones(len(k), bool)
                 for t in range(cells.shape[1]):  # the first table where they meet, there the first cell
                     x, y = cells[a, t], cells[b, t]
