@@ -5,9 +5,10 @@ sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so that two terms together ca
 less, than both alone. Pairs are summed by (|sum v|^2 - sum |v|^2) / 2.
 
 The fit learns from labelled rows that aren't held out, at most SAMPLE of them, over the up to
-FEATURES buckets most associated with the label. Nulls and empty texts get the score without any term.
-Without labelled rows of both kinds the score is the smoothed share of toxic ones. Rows that repeat
-a doc_id count once in the fit and are scored each. Labels, lang, source and doc_id are no inputs of
+FEATURES buckets most associated with the label, and those of pairs that tell something together, be
+their parts neutral or not (terms.interacting). Nulls and empty texts get the score without any term, long
+texts are read whole. Without labelled rows of both kinds the score is the smoothed share of toxic ones.
+Rows that repeat a doc_id count once in the fit, by the least digest of their texts, and are scored each. Labels, lang, source and doc_id are no inputs of
 a score. Extra columns are ignored by scores() and kept by keep_clean().
 """
 
@@ -58,20 +59,20 @@ def train(terms: list[np.ndarray], y: np.ndarray, features: int = FEATURES, fact
     """Adam on the logistic loss with weight decay, over the given epochs or STEPS batches if that is
     more; the order of rows is drawn from SEED. A term needs ROWS_A_TERM rows to be learned from, so
     that few rows don't fit chance."""
-    chosen = tm.associated(terms, y, min(features, max(32, len(y) // ROWS_A_TERM)))
+    chosen = np.union1d(tm.associated(terms, y, min(features, max(32, len(y) // ROWS_A_TERM))), tm.interacting(terms, y))
     share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.01
     r = np.random.default_rng(SEED)
     m = Machine(chosen, float(np.log(share / (1 - share))), np.zeros(len(chosen)), r.normal(0, 0.05, (len(chosen), factors)))
     if not len(chosen):
         return m
-    x = tm.dense(terms, chosen)
+    x = tm.Rows(terms, chosen)
     p = [np.array([m.w0]), m.w, m.v]
     mom, var, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(max(epochs, -(-STEPS // (1 + len(y) // BATCH)))):
         order = r.permutation(len(y))
         for c in range(0, len(y), BATCH):
             at = order[c : c + BATCH]
-            b = x[at].astype(np.float64)
+            b = x.take(at).dense().astype(np.float64)
             m.w0 = float(p[0][0])
             g = (tm.sigmoid(m.logits(b)) - y[at]) / len(at)
             inner = b.T @ (g[:, None] * (b @ m.v)) - (b.T @ g)[:, None] * m.v
@@ -87,7 +88,7 @@ def train(terms: list[np.ndarray], y: np.ndarray, features: int = FEATURES, fact
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     learn = ~held_out(F.col("doc_id"), MODULUS, REMAINDER)
     picked = tm.sample_ids(tm.labels_of(labels, "toxic", learn), "y")
-    terms, (y,) = tm.features_of(docs.select("doc_id", "text"), picked, tm.term_set, ["y"])
+    terms, (y,) = tm.features_of(docs.select("doc_id", "text"), picked, lambda b, texts: [sorted(set(tm.term_set(t))) for t in texts], ["y"])
     return train(terms, np.array(y, dtype=np.float64))
 
 

@@ -373,7 +373,7 @@ def test_toxicity(spark):
     assert got[5000].score == got[5001].score and not got[5000].predicted
     kept = toxicity.keep_clean(df, m)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {k for k, x in got.items() if not x.predicted}
-    z = m.logits(terms.dense([np.array(terms.term_set(t.encode())) for _, t, *_ in docs[:50]], m.chosen).astype(float))
+    z = m.logits(terms.Rows([np.array(terms.term_set(t.encode())) for _, t, *_ in docs[:50]], m.chosen).dense().astype(float))
     assert [got[k].score for k in range(50)] == pytest.approx(terms.sigmoid(z), abs=1e-6)
 
 
@@ -406,15 +406,59 @@ def test_quality(spark):
     assert quality.scores(df.limit(0), quality.fit(df.limit(0), none)).count() == 0
 
 
-def test_cotraining_uses_the_pool():
-    """One view is told by few labels, the other only through what the first passes on."""
+def cotraining(first, rounds):
+    """One view is told by few labels, the other only through what the first passes on; the share of
+    rows that the other gets right."""
     r = np.random.default_rng(10)
     y = r.integers(0, 2, 600)
-    xt = np.stack([y, 1 - y], axis=1) + 0.0
-    xm = np.eye(20)[np.where(y == 1, r.integers(0, 10, 600), r.integers(10, 20, 600))]
-    few = np.array([np.nonzero(y == 1)[0][0], np.nonzero(y == 0)[0][0], np.nonzero(y == 1)[0][1], np.nonzero(y == 0)[0][1]])
-    rest = np.setdiff1d(np.arange(600), few)
-    _, wm = quality.cotrain(xt[few], xm[few], y[few], xt[rest], xm[rest], 8)
-    _, alone = quality.cotrain(xt[few], xm[few], y[few], xt[rest], xm[rest], 0)
-    right = lambda w: np.mean((quality.logits(xm, w) > 0) == (y == 1))
-    assert right(wm) > 0.9 > right(alone)
+    sure = quality.Table(np.stack([y, 1 - y], axis=1) + 0.0)
+    other = quality.Table(np.eye(20)[np.where(y == 1, r.integers(0, 10, 600), r.integers(10, 20, 600))])
+    few = np.concatenate([np.nonzero(y == 1)[0][:2], np.nonzero(y == 0)[0][:2]])
+    known = np.full(600, -1)
+    known[few] = y[few]
+    pair = (sure, other) if first == 0 else (other, sure)
+    given = []
+    w = quality.cotrain(*pair, known, np.setdiff1d(np.arange(600), few), rounds, given)
+    passed = [set(marks) for k, _, marks in given if k == first]
+    return np.mean((quality.logits(other, w[1 - first]) > 0) == (y == 1)), passed
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_cotraining_uses_the_pool(first):
+    """Text to metadata, and metadata to text; labels of both kinds are handed over."""
+    got, passed = cotraining(first, 8)
+    assert got > 0.9 > cotraining(first, 0)[0]
+    assert passed and all(x == {0.0, 1.0} for x in passed)
+
+
+def test_both_views_hand_over_both_labels(spark):
+    """On the documents table, in every round."""
+    sf, given = "/root/testdata/sf0.01", []
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    m = quality.fit(docs, labels, given)
+    for view in (0, 1):
+        marks = np.concatenate([x for k, _, x in given if k == view])
+        assert set(marks) == {0.0, 1.0}
+    assert m.joint[0] > 0 and m.joint[1] >= 0
+
+
+def test_machine_learns_a_pair_without_single_effects():
+    """Exclusive-or of two words among 3,000 others."""
+    r = random.Random(14)
+    rows, y = [], []
+    for _ in range(8000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.unique([100 + r.randrange(3000) for _ in range(20)] + [7] * a + [9] * b))
+        y.append(float(a != b))
+    m = toxicity.train(rows[:6000], np.array(y[:6000]))
+    x = terms.Rows(rows[6000:], m.chosen).dense().astype(float)
+    assert np.mean((m.logits(x) > 0) == (np.array(y[6000:]) > 0)) >= 0.95
+
+
+def test_fit_of_repeated_ids(spark):
+    """Of rows that share an id one text counts, the same one however they are dealt."""
+    docs, labels = toxic_corpus(300)
+    more = [(k % 5, f"other {k}", "en", "s", 1) for k in range(400)]
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(x, SCHEMA).repartition(n), lab) for x, n in ((docs + more, 3), (more + docs, 5)))
+    assert (a.v == b.v).all() and (a.chosen == b.chosen).all()
