@@ -9,9 +9,12 @@ LANDING wouldn't be left of them; these fly again in larger steps until a source
 source at its own level. Its flight stops at LANDING documents, and the subset of these with the least
 token error lands. Sizes of other sources thus change a source's target, never its flight.
 
-Draws come from the source and block, so reruns agree. Null sources come last in the order of
-weights and are one source; null and empty texts have size 0. An empty table gives an empty result.
-Rows that repeat a doc_id are separate documents. Extra columns pass through mix().
+Draws come from the source and block, so reruns agree. A row's block comes from a hash of its doc_id and
+text, however the table is dealt. Rows that agree in both more than SPREAD times are dealt by the number
+that a row gets when the sizes are written instead, so that they don't meet in one block; these alone
+depend on the table's partitions. Null sources come last in the order of weights and are one source; null
+and empty texts have size 0, long ones are counted whole. An empty table gives an empty result. Rows that
+repeat a doc_id, or have none, are separate documents. All columns pass through mix(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,24 +24,33 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import map_batches, materialise, texts_of
+from loomseq.llm.common import map_batches, materialise, texts_of, unused
 
 #: The weights by source in code point order, the share of all sizes, the largest repeat.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BLOCK, LANDING, SEED = 1024, 16, 11
+BLOCK, LANDING, SEED, SPREAD = 1024, 16, 11, 64
 _EPS = 1e-9
+#: The largest number of sources whose facts are broadcast; those of more are joined by shuffle.
+NEAR = 100_000
+
+
+def _facts(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= NEAR else table
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the text, separated by ASCII white space."""
+    """(doc_id, source, size, key) and columns other than text: words of the text, separated by ASCII
+    white space, and a hash of doc_id and text."""
+    keyed = docs.withColumn("key", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+    kept = keyed.drop("text").schema.fields
 
     def run(b: pa.RecordBatch):
-        return {"doc_id": b.column("doc_id"), "source": b.column("source"), "size": [len(t.split()) for t in texts_of(b)]}
+        return {f.name: b.column(f.name) for f in kept} | {"size": [len(t.split()) for t in texts_of(b)]}
 
-    return map_batches(docs.select("doc_id", "source", "text"), run, "doc_id bigint, source string, size bigint")
+    return map_batches(keyed, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", size bigint")
 
 
 def targets(totals: list[tuple[str | None, int]]) -> dict[str | None, float]:
@@ -106,62 +118,65 @@ def _level(rows: DataFrame, shards: dict, level: int) -> DataFrame:
     table = spark.createDataFrame([(s, n) for s, n in shards.items()], "src string, shards bigint")
     # What a block's probabilities promise, where it is the whole source.
     sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
-    salted = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(doc_id, {level}), shards)"))
+    salted = rows.join(_facts(table, len(shards)), rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(deal, {level}), shards)"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["deal", "p", "row"]).reset_index(drop=True)
         size, p = pdf["size"].tolist(), pdf["p"].tolist()
         rng = random.Random(f"{SEED}:{level}:{pdf['source'][0]}:{pdf['block'][0]}")
         blocks = int(pdf["shards"][0])
         fly(size, p, rng, max(2, -(-LANDING // blocks)))
         if blocks == 1:
             land(size, p, pdf["goal"][0])
-        return pdf.assign(p=p)[["doc_id", "source", "size", "p"]]
+        return pdf.assign(p=p)[["row", "source", "size", "deal", "p"]]
 
-    goal = salted.join(F.broadcast(sums), salted["source"].eqNullSafe(sums["src"])).drop("src")
-    named = goal.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn null ids' column to floats
-    flown = named.groupBy("source", "block").applyInPandas(run, "doc_id string, source string, size bigint, p double")
-    return flown.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    goal = salted.join(_facts(sums, len(shards)), salted["source"].eqNullSafe(sums["src"])).drop("src")
+    return goal.groupBy("source", "block").applyInPandas(run, "row bigint, source string, size bigint, deal bigint, p double")
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken) for every row."""
-    spark = docs.sparkSession
-    rows = materialise(sizes(docs))
+    return _planned(materialise(sizes(docs.select("doc_id", "source", "text")).withColumn("row", F.monotonically_increasing_id()))).drop("row")
+
+
+def _planned(rows: DataFrame) -> DataFrame:
+    """plan() with the row's number, from written rows (row, doc_id, source, size, key)."""
+    spark = rows.sparkSession
     totals = {r.source: (r.n, r.size) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     want = targets([(s, size) for s, (_, size) in totals.items()])
     rate = {s: want[s] / size if size else 0.0 for s, (_, size) in totals.items()}
-    # The driver holds a row for each source; so small a table is broadcast, and no source meets in one task.
+    # The driver holds a row for each source; up to NEAR of them are broadcast, and no source meets in one task.
     facts = spark.createDataFrame(
         [(s, int(size), float(want[s]), int(rate[s]), rate[s] - int(rate[s])) for s, (_, size) in totals.items()],
         "src string, source_size bigint, target double, base int, p double",
     )
-    known = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["src"])).drop("src")
-    live = known.where("p > 0 and p < 1").select("doc_id", "source", "size", "p")
+    known = rows.join(_facts(facts, len(totals)), rows["source"].eqNullSafe(facts["src"])).drop("src")
+    live = known.where("p > 0 and p < 1").select("row", "source", "size", "p", "key")
+    often = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPREAD).select("key", F.lit(True).alias("often"))
+    live = live.join(often, "key", "left").select("row", "source", "size", F.when(F.col("often"), F.xxhash64("row")).otherwise(F.col("key")).alias("deal"), "p")
     counts = {s: n for s, (n, _) in totals.items() if 0.0 < rate[s] - int(rate[s]) < 1.0}
     done, level = [], 0
     while counts:
         shards = {s: -(-n // BLOCK) for s, n in counts.items()}
         flown = materialise(_level(live, shards, level))
-        done.append(flown.where("p = 0 or p = 1").select("doc_id", "source", "size", F.col("p").cast("int").alias("more")))
+        done.append(flown.where("p = 0 or p = 1").select("row", F.col("p").cast("int").alias("more")))
         live = flown.where("p > 0 and p < 1")
         counts = {r.source: r.n for r in live.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
         level += 1
-    settled = spark.createDataFrame([], "doc_id bigint, source string, size bigint, more int")
+    settled = spark.createDataFrame([], "row bigint, more int")
     for d in done:
         settled = settled.unionByName(d)
-    flat = known.where("not (p > 0 and p < 1)").select("doc_id", "source", "size", F.lit(0).alias("more")).unionByName(settled)
-    return (
-        flat.join(F.broadcast(facts.drop("p")), flat["source"].eqNullSafe(facts["src"]))
-        .withColumn("times", F.col("base") + F.col("more"))
-        .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("bigint").alias("taken"))
+    return known.join(settled, "row", "left").withColumn("times", F.col("base") + F.coalesce("more", F.lit(0))).select(
+        "row", "doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("bigint").alias("taken")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the plan takes it. Rows that repeat a doc_id take its entries
-    in turn, so each entry is used once."""
-    times = plan(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("times")).alias("_times"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("_length"))
-    both = docs.withColumn("_length", F.length("text")).join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_n", F.get("_times", turn - 1))
-    return both.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """docs with each row as often as the plan takes it. The rows are written once with a number, by
+    which the plan finds them again, whatever their ids."""
+    row, n, k = unused(docs.columns, "row", "n", "k")
+    named = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbers = named.select(F.col(f"`{row}`").alias("row"), "doc_id", "source", "text")
+    times = _planned(materialise(sizes(numbers))).where("times > 0").select(F.col("row").alias(row), F.col("times").alias(n))
+    many = F.explode(F.sequence(F.lit(1), F.col(n))).alias(k)
+    return named.join(times, row).select(*[F.col(f"`{c}`") for c in docs.columns], many).drop(k)

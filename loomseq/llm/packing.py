@@ -4,12 +4,16 @@ Documents are cut so that pieces fill reciprocal classes: class k has pieces of
 CAPACITY // k tokens, and k of them make a sequence, whichever they are. Of what a whole number of
 sequences leaves, the largest CAPACITY // k that fits is cut off, again and again, until a rest of
 TAIL tokens or one that all but fills its class remains. Workers fill the sequences of their own
-shard of a class without looking elsewhere; what is left over there is dealt to ever fewer shards,
-and the last open sequence of each class, some hundred in all at any size, are packed together by
+shard of a class without looking elsewhere; what is left over there is dealt to fewer shards, level by
+level, until a class has had a single one; a level leaves about a thirtieth, so no shard grows with the
+input. The last open sequence of each class, some hundred in all at any size, are packed together by
 best fit. A sequence is padded to CAPACITY, or not at all where its length is a power of two.
 
-Null and empty texts have the end token alone. Rows that repeat a doc_id are packed one by one. An
-empty table gives an empty result; extra columns are ignored.
+A sequence's number is made of class, level, shard and place, each with bits of its own, and of nothing
+for the last sequences. Pieces are dealt by a number that each is given when the pieces are written, so
+rows without doc_id, or with the same, spread like others; which pieces meet thus depends on the table's
+partitions. Null and empty texts have the end token alone, long ones are encoded whole. Rows that
+repeat a doc_id are packed one by one. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from loomseq.llm.wordpiece import encode
 CAPACITY, END_ID, TAIL, SLACK = 4096, 2, 64, 0.01
 #: Rows of a shard: so many, or so many full sequences if that is more.
 SHARD_ROWS, SHARD_BINS = 256, 16
-MERGES = 3
+#: Bits of a sequence's number after the class: level, shard, place in the shard.
+LEVEL_BITS, SHARD_BITS, BIN_BITS = 4, 34, 12
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -66,30 +71,38 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
-def _fill(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Full sequences of each shard, and the rows left over. Shards are numbered by class size."""
+def _number(k, level, shard, place):
+    """Class, level, shard and place side by side, in at most 63 bits."""
+    for value, bits in ((level, LEVEL_BITS), (shard, SHARD_BITS), (place, BIN_BITS)):
+        k = k * (1 << bits) + value
+    return k
+
+
+def _fill(rows: DataFrame, level: int, counts: dict[int, int]) -> tuple[DataFrame, DataFrame, bool]:
+    """Full sequences of each shard, the rows left over, and whether every class had one shard."""
     spark = rows.sparkSession
-    counts = {r.k: r.n for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CAPACITY classes
-    last = level == MERGES
-    shards = [(k, 1 if last else max(1, n // max(SHARD_ROWS, SHARD_BINS * k))) for k, n in counts.items()]
-    table = spark.createDataFrame(shards, "k int, shards bigint")
-    own = rows.join(F.broadcast(table), "k").withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, start, {level}), shards)"))
+    shards = {k: max(1, n // max(SHARD_ROWS, SHARD_BINS * k)) for k, n in counts.items()}
+    if level >= 1 << LEVEL_BITS or max(shards.values(), default=0) > 1 << SHARD_BITS:
+        raise ValueError("more pieces than sequence numbers")
+    table = spark.createDataFrame(list(shards.items()), "k int, shards bigint")  # a row for each class
+    own = rows.join(F.broadcast(table), "k").withColumn("shard", F.expr(f"pmod(xxhash64(piece, {level}), shards)"))
     by = Window.partitionBy("k", "shard")
     ranked = (
-        own.withColumn("rn", F.row_number().over(by.orderBy("doc_id", "start"))).withColumn("n", F.count(F.lit(1)).over(by))
+        own.withColumn("rn", F.row_number().over(by.orderBy("piece"))).withColumn("n", F.count(F.lit(1)).over(by))
         .withColumns({"bin": F.expr("(rn - 1) div k"), "whole": F.expr("n div k")})
     )
     ranked = materialise(ranked)
     inside = Window.partitionBy("k", "shard", "bin").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.expr(f"shiftleft(cast(k as bigint), 50) | shiftleft(cast({level} as bigint), 46) | shiftleft(shard, 24) | bin")
+    bins = F.when(F.col("bin") < 1 << BIN_BITS, F.col("bin")).otherwise(F.raise_error(F.lit("a shard has more sequences than numbers")))
+    number = _number(F.col("k").cast("bigint"), F.lit(level), F.col("shard"), bins).cast("bigint")
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     full = ranked.where("bin < whole").select(*cols, number.alias("sequence_id"), F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
-    return full, ranked.where("bin >= whole").select(*cols, "k")
+    return full, ranked.where("bin >= whole").select(*cols, "k", "piece"), all(n == 1 for n in shards.values())
 
 
 def _best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Best fit by falling length: each piece goes where it leaves the least room."""
-    pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True]).reset_index(drop=True)
+    pdf = pdf.sort_values(["length", "piece"], ascending=[False, True]).reset_index(drop=True)
     rooms: list[tuple[int, int]] = []  # (room, sequence), sorted
     used, seq, off = [], [], []
     for n in pdf["length"].tolist():
@@ -108,10 +121,12 @@ def _best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece."""
-    left = materialise(pieces(docs, tokenizer))
-    done = []
-    for level in range(1, MERGES + 1):
-        full, left = _fill(left, level)
+    left = materialise(pieces(docs, tokenizer).withColumn("piece", F.monotonically_increasing_id()))
+    done, last, level = [], False, 0
+    while not last:
+        level += 1
+        counts = {r.k: r.n for r in left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CAPACITY classes
+        full, left, last = _fill(left, level, counts)
         done.append(full)
     # Fewer than k pieces of each class k are left: below 20,000 rows whatever the input.
     rest = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(

@@ -101,12 +101,15 @@ def associated(terms: list[np.ndarray], y: np.ndarray, size: int, least: int = 2
     return np.sort(order[chi[order] > 0])
 
 
-def interacting(terms: list[np.ndarray], y: np.ndarray, among: int = 2048, size: int = 256, least: float = 40.0) -> np.ndarray:
+def interacting(terms: list[np.ndarray], y: np.ndarray, among: int = 2048, size: int = 64, least: float = 400.0) -> np.ndarray:
     """Buckets of the pairs that tell more together than by their parts: all pairs of the `among` most
     frequent buckets (in at most nine rows of ten) are counted, and those whose difference of differences
     in y's share is over sqrt(least) times its deviation give their buckets, the strongest first, up to
-    `size`. So a pair counts whose parts tell nothing alone. Beyond chance: of two million pairs of noise
-    one in a thousand fits has any over 40."""
+    `size`; so a pair counts whose parts tell nothing alone. Rows with the same terms count once, or copies
+    would look like pairs. The bar is far above chance, as rows of one kind share more than a pair."""
+    alike = {(t.tobytes(), v): k for k, (t, v) in reversed(list(enumerate(zip(terms, y.tolist()))))}
+    once = sorted(alike.values())
+    terms, y = [terms[k] for k in once], y[once]
     n = len(y)
     seen = np.bincount(np.concatenate(terms), minlength=BUCKETS) if n else np.zeros(BUCKETS, np.int64)
     order = np.lexsort((np.arange(BUCKETS), -seen))

@@ -167,6 +167,31 @@ def test_full_sequences_have_a_fixed_count(spark):
     assert sum(v == [1365] * 3 for v in by.values()) >= 260
 
 
+def test_numbers_of_sequences_are_distinct(spark, monkeypatch):
+    """The parts of a number have bits of their own; small shards over several levels, no row with an id."""
+    spans = (4096, 1 << packing.LEVEL_BITS, 1 << packing.SHARD_BITS, 1 << packing.BIN_BITS)
+    corners = [(k, a, s, b) for k in (1, 2, spans[0]) for a in (1, spans[1] - 1) for s in (0, 1, spans[2] - 1) for b in (0, 1, spans[3] - 1)]
+    numbers = {packing._number(*c) for c in corners}
+    assert len(numbers) == len(corners) and 0 <= min(numbers) and max(numbers) < 1 << 63
+    monkeypatch.setattr(packing, "SHARD_ROWS", 4)
+    monkeypatch.setattr(packing, "SHARD_BINS", 2)
+    r = random.Random(5)
+    df = spark.createDataFrame([(None if k % 3 else 5, "word " * r.choice([1, 300, 1364, 2047])) for k in range(900)], "doc_id bigint, text string")
+    rows = packing.pack(df).collect()
+    assert sum(x.length for x in rows) == sum(x.doc_tokens for x in rows if x.start == 0)
+    seq = {}
+    for x in rows:
+        seq.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in seq.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 4096
+    full = sum(sum(n for _, n in p) > 4000 for p in seq.values())
+    assert full >= 0.9 * len(seq)
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 def test_targets():
@@ -242,6 +267,29 @@ def test_small_sources_beside_a_large_one(spark, counts):
     assert set(error) == set(counts) and max(error.values()) <= 3, error
 
 
+def test_mix_by_row(spark, monkeypatch):
+    """Rows without an id, many that are alike, and columns named like the helpers: each row is taken as
+    the plan says, at most twice, and sources come near their targets."""
+    monkeypatch.setattr(mixing, "BLOCK", 256)
+    r = random.Random(15)
+    rows = [(None, "w " * 40, "s", k, "a") for k in range(700)]
+    rows += [(None if k % 2 else 3, " ".join(["v"] * r.randrange(1, 90)), r.choice(["s", "t", None]), 1000 + k, "b") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int, row string").withColumns({c: F.lit(1) for c in ("k", "key", "_length", "_times", "_id", "deal", "p", "times", "often")})
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    times, words = {}, {}
+    for x in got.collect():
+        times[x.n] = times.get(x.n, 0) + 1
+        assert x.text == rows[x.n if x.n < 1000 else x.n - 300][1] and x.k == x.p == 1
+        words[x.source] = words.get(x.source, 0) + len(x.text.split())
+    assert max(times.values()) <= 2
+    sizes = {}
+    for _, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = mixing.targets(list(sizes.items()))
+    assert all(abs(words[s] - want[s]) <= 0.002 * want[s] + 2 for s in want)
+
+
 def test_plan_small_and_empty(spark):
     schema = "doc_id bigint, text string, source string"
     assert mixing.plan(spark.createDataFrame([], schema)).count() == 0
