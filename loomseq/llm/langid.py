@@ -3,7 +3,8 @@
 For each language a raw-content zstandard dictionary is made of its typical words: those in at
 least two sampled texts of the language and, relative to the texts, at least LIFT times as frequent
 there as in any other; the most frequent stand last, where references to them are cheapest. Whole
-sample texts as content would let a few mislabelled ones and their copies decide.
+sample texts as content would let a few mislabelled ones and their copies decide. Where a word is longer
+than LONG characters, as sentences are in scripts without blanks, its runs of GRAM characters count as words.
 
 A text is cut into blocks of BLOCK bytes, each is compressed with each dictionary, and the language
 with the smallest sum wins. Ties go to the language with more training rows, then by name. The score
@@ -12,27 +13,28 @@ marked as rejected.
 
 About WANTED texts of each language, those with the lowest hash of doc_id, are the fitted sample,
 and a dictionary holds at most DICTIONARY bytes; both bounds are parameters of the fit.
-Texts that are null or have no letter are `und` with score 0.
+Texts that are null or have no letter (Unicode category L) are `und` with score 0, long ones are read whole.
 Without training rows every text is `und`. lang, source and doc_id are no inputs of a prediction.
-Rows that repeat are predicted each; extra columns are ignored.
+Rows that repeat are predicted each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import held_out, map_batches
+from loomseq.llm.common import held_out, map_batches, materialise
 
 MODULUS, REMAINDER = 4, 2
 DICTIONARY, WANTED, LIFT, LEVEL, BLOCK, MARGIN = 1 << 16, 2000, 2.0, 9, 1024, 0.9
-_LETTER = re.compile(r"[^\W\d_]")
+LONG, GRAM = 24, 4
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fold(text: bytes) -> bytes:
@@ -68,26 +70,28 @@ def decide(total: np.ndarray) -> tuple[int, float]:
     return best, float(1.0 / np.exp2(-2.0 * np.minimum(total - total[best], 400)).sum())
 
 
-def typical(counts: dict[str, dict[str, int]], texts: dict[str, int], names: list[str], size: int = DICTIONARY) -> list[bytes]:
-    """Dictionary contents from the number of texts that have a word, by language."""
-    out = []
-    for name in names:
-        others = [(counts.get(m, {}), texts.get(m, 0)) for m in names if m != name]
-        kept = []
-        for w, k in counts.get(name, {}).items():
-            rate = k / texts[name]
-            if all(rate * n >= LIFT * c.get(w, 0) for c, n in others):
-                kept.append((-k, w))
-        words, used = [], 2
-        for _, w in sorted(kept):
-            used += len(w.encode()) + 1
-            if used > size:
-                break
-            words.append(w)
-        out.append(fold(" ".join(reversed(words)).encode()))
+def parts(flat: str) -> set[str]:
+    """The words of a folded text, or the runs of GRAM characters of long ones."""
+    out = set()
+    for w in set(flat.split()):
+        if len(w) <= LONG:
+            out.add(w)
+        else:
+            out.update(w[k : k + GRAM] for k in range(len(w) - GRAM + 1))
     return out
 
 
+def content(words: list[str], size: int = DICTIONARY) -> bytes:
+    """A dictionary of the words, most frequent first, as far as they fit; the first stand last."""
+    kept, used = [], 2
+    for w in words:
+        used += len(w.encode()) + 1
+        if used > size:
+            break
+        kept.append(w)
+    return fold(" ".join(reversed(kept)).encode())
+
+
 def fit(docs: DataFrame, wanted: int = WANTED) -> Dictionaries:
     """Dictionaries from rows with a language that aren't held out. The sample is drawn by a hash
     threshold that suits the number of a language's rows; words are counted on the executors, and
@@ -104,21 +108,30 @@ def fit(docs: DataFrame, wanted: int = WANTED) -> Dictionaries:
     def words(b: pa.RecordBatch):
         langs, found = [], []
         for lang, t in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-            own = {""} | set(fold(t or b"").decode().split())  # the empty word counts texts
+            own = {""} | parts(fold(t or b"").decode())  # the empty word counts texts
             langs += [lang] * len(own)
             found += own
         return {"lang": langs, "word": found}
 
     by = map_batches(some, words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
-    counts: dict[str, dict[str, int]] = {}
-    texts: dict[str, int] = {}
-    for r in by.where("k > 1 or word = ''").collect():
-        if r.word:
-            counts.setdefault(r.lang, {})[r.word] = r.k
-        else:
-            texts[r.lang] = r.k
     names = sorted(total, key=lambda x: (-total[x], x))
-    return Dictionaries(names, typical(counts, texts, names))
+    typed = {r.lang: list(r.words) for r in _typical(materialise(by.where("k > 1 or word = ''"))).collect()}
+    return Dictionaries(names, [content(typed.get(n, [])) for n in names])
+
+
+def _typical(counts: DataFrame, size: int = DICTIONARY) -> DataFrame:
+    """(lang, words): by language, the words at least LIFT times as frequent there as in any other, the
+    most frequent first, at most as many as a dictionary can hold. counts has the number of texts of a
+    language that have a word; the empty word's is that of all its texts."""
+    texts = F.broadcast(counts.where("word = ''").select("lang", F.col("k").alias("texts")))  # a row for each language
+    rates = counts.where("word <> ''").join(texts, "lang").withColumn("rate", F.col("k") / F.col("texts"))
+    ranked = rates.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rate", "lang", "k")), False).alias("by"))  # an entry for each language
+    best, next_ = F.get("by", F.lit(0)), F.coalesce(F.get("by", F.lit(1))["rate"], F.lit(0.0))
+    clear = ranked.where(best["rate"] >= LIFT * next_).select("word", best["lang"].alias("lang"), best["k"].alias("k"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "word"))
+    first = clear.withColumn("place", place).where(F.col("place") <= size // 2)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    return first.groupBy("lang").agg(words.alias("words"))
 
 
 def predict(docs: DataFrame, model: Dictionaries) -> DataFrame:

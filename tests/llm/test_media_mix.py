@@ -75,6 +75,54 @@ def test_pages_of_broken_files(spark):
     assert all((x.error is None) == (x.k == 1) for x in got)
 
 
+def altered(good, tag, value):
+    """The file with another value in the first directory's entry of a tag."""
+    out, at = bytearray(good), struct.unpack_from("<I", good, 4)[0]
+    for k in range(struct.unpack_from("<H", good, at)[0]):
+        place = at + 2 + 12 * k
+        if struct.unpack_from("<H", good, place)[0] == tag:
+            struct.pack_into("<I", out, place + 8, value)
+    return bytes(out)
+
+
+def test_reader_never_fails_a_job(spark):
+    """Sizes of nought, absurd sizes, missing strips, bad codes, and any single byte changed."""
+    img = np.arange(48 * 8, dtype=np.uint8).reshape(8, 48, 1)
+    strips, tiles = (tiff.write([img], [lay]) for lay in ({"compression": tiff.LZW, "rows": 4}, {"tile": (16, 16), "compression": tiff.DEFLATE}))
+    bad = [altered(strips, tiff.ROWS_PER_STRIP, 0), altered(tiles, tiff.TILE_WIDTH, 0), altered(strips, tiff.WIDTH, 0xFFFFFFFF), altered(strips, tiff.HEIGHT, 0xFFFFFFF0), altered(strips, tiff.HEIGHT, 16), altered(strips, tiff.WIDTH, 100_000)]
+    lzw = bytearray(strips)
+    lzw[8:10] = b"\xff\xff"
+    bad.append(bytes(lzw))
+    r = random.Random(6)
+    flipped = []
+    for good in (strips, tiles):
+        for _ in range(300):
+            x = bytearray(good)
+            x[r.randrange(len(x))] = r.randrange(256)
+            flipped.append(bytes(x))
+    rows = [(k, x) for k, x in enumerate(bad + flipped)]
+    got = tiff.pages(spark.createDataFrame(rows, "k int, media binary"), "k", "media").collect()
+    assert {x.k for x in got} == set(range(len(rows))) - {x for x in range(len(rows)) if rows[x][1][4:8] == b"\0\0\0\0"}
+    assert all(x.page == -1 and x.error for x in got if x.k < len(bad))
+
+
+@pytest.mark.parametrize("how", CODECS)
+def test_small_samples(how):
+    """One and four bits a sample, rows padded to whole bytes."""
+    r = np.random.default_rng(4)
+    for bits, w in ((1, 37), (4, 13)):
+        img = r.integers(0, 1 << bits, (9, w), dtype=np.uint8)
+        raw = np.packbits(img, axis=1) if bits == 1 else (lambda p: p[:, ::2] << 4 | p[:, 1::2])(np.pad(img, ((0, 0), (0, w % 2))))
+        data = altered(altered(tiff.write([np.ascontiguousarray(raw)[:, :, None]], [{"compression": how, "rows": 4}]), tiff.WIDTH, w), tiff.BITS, bits)
+        (back,) = tiff.decode(data)
+        assert (back[:, :, 0] == img).all()
+
+
+def test_store_uses_every_layout(spark):
+    seen = {tiff.zlib.crc32(tiff.payload_of(b"text %d" % k)) % len(tiff.LAYOUTS) for k in range(60)}
+    assert seen == set(range(len(tiff.LAYOUTS))) and {x["compression"] for x in tiff.LAYOUTS} == set(CODECS)
+
+
 def test_digest(spark):
     r = random.Random(3)
     texts = [None, "", "x", "é" * 288, "y" * 576, "z" * 577, "".join(chr(r.randrange(32, 500)) for _ in range(90_000)), "x"]

@@ -307,10 +307,26 @@ def test_language_without_rows(spark):
     assert langid.predict(df.limit(0), langid.fit(df.limit(0))).count() == 0
 
 
-def test_mislabelled_texts_do_not_decide():
-    counts = {"a": {"x": 90, "y": 3}, "b": {"y": 80, "x": 2}}
-    a, b = langid.typical(counts, {"a": 100, "b": 100}, ["a", "b"])
-    assert a.split() == [b"x"] and b.split() == [b"y"]
+def test_mislabelled_texts_do_not_decide(spark):
+    counts = [("a", "x", 90), ("a", "y", 3), ("a", "", 100), ("b", "y", 80), ("b", "x", 2), ("b", "w", 9), ("b", "", 100), ("c", "", 1)]
+    got = {r.lang: r.words for r in langid._typical(spark.createDataFrame(counts, "lang string, word string, k bigint")).collect()}
+    assert got == {"a": ["x"], "b": ["y", "w"]}
+    assert langid.content(["x", "y"]).split() == [b"y", b"x"] and langid.content(["ab", "c" * 40], 20).split() == [b"ab"]
+
+
+def test_scripts_without_blanks(spark):
+    """Sentences as single words; signs that are no letters."""
+    r = random.Random(16)
+    han, kana = [[chr(base + k) for k in range(120)] for base in (0x4E00, 0x3041 - 20)]
+    pair = {k: ["".join(r.choice(x) for _ in range(3)) for _ in range(60)] for k, x in (("h", han), ("k", kana + han[:60]))}
+    rows = [(k, "。".join("".join(r.choice(pair["hk"[k % 2]]) for _ in range(20)) for _ in range(4)), "hk"[k % 2]) for k in range(300)]
+    rows += [(500, "² ½ Ⅷ ① 12", None), (501, "ª", None), (502, "日", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert min(len(c) for c in model.contents) > 500
+    got = {x.doc_id: x.lang_pred for x in langid.predict(df, model).collect()}
+    assert np.mean([got[k] == lang for k, _, lang in rows[:300]]) > 0.97
+    assert got[500] == "und" and got[501] != "und" and got[502] != "und"
 
 
 # --- fitted scores ---------------------------------------------------------------------------
