@@ -1,7 +1,9 @@
-"""Forward pass of encoder blocks (section 2.13 of the survey), one sequence per group.
+"""Forward pass of encoder blocks (section 2.13 of the survey), one sequence at a time.
 
 Linear layers need matrix products, so each sequence's rows, at most the maximum sequence length,
-meet in one pandas group. Weights are plain numpy arrays that the caller supplies."""
+meet: in one pandas group (encode), or in one record of arrays (operators.model), without a shuffle.
+Weights are plain numpy arrays that the caller supplies; a bias or a norm's gain and offset that is left
+out counts as none."""
 
 from __future__ import annotations
 
@@ -12,29 +14,49 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomseq.functions.vectors import alibi_slopes
-
-_erf = np.vectorize(math.erf, otypes=[float])
+from loomseq.functions.vectors import alibi_slopes, erf
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)))
+    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
 
 
-def norm(x: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+def norm(x: np.ndarray, scale: tuple[np.ndarray, np.ndarray] | None = None, eps: float = 1e-12) -> np.ndarray:
+    """Layer norm; scale is (gain, offset)."""
     x = x - x.mean(-1, keepdims=True)
-    return x / np.sqrt((x * x).mean(-1, keepdims=True) + eps)
+    x = x / np.sqrt((x * x).mean(-1, keepdims=True) + eps)
+    return x if scale is None else x * scale[0] + scale[1]
+
+
+def linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    return x @ weight if bias is None else x @ weight + bias
+
+
+def attend(queries: np.ndarray, qkv: np.ndarray, heads: int, bias: np.ndarray) -> np.ndarray:
+    """Attention of the chosen rows to all rows; bias (heads or 1, rows, all rows) is added to the scores."""
+    n, d = len(qkv), qkv.shape[1] // 3
+    q, k, v = (y.reshape(n, heads, d // heads).transpose(1, 0, 2) for y in np.split(qkv, 3, axis=1))
+    q = q[:, queries]
+    s = q @ k.transpose(0, 2, 1) / math.sqrt(d // heads) + bias
+    p = np.exp(s - s.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    return (p @ v).transpose(1, 0, 2).reshape(len(queries), d)
 
 
 @dataclass
 class BlockWeights:
-    """wqkv (d, 3d), wo (d, d), gated (d, 2m), down (m, d)."""
+    """wqkv (d, 3d), wo (d, d), gated (d, 2m), down (m, d), with the biases and norms that the layers have."""
 
     wqkv: np.ndarray
     wo: np.ndarray
     gated: np.ndarray
     down: np.ndarray
     heads: int
+    bqkv: np.ndarray | None = None
+    bo: np.ndarray | None = None
+    bdown: np.ndarray | None = None
+    norm1: tuple[np.ndarray, np.ndarray] | None = None
+    norm2: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def fixed(cls, dim: int, inner: int, heads: int, seed: int) -> BlockWeights:
@@ -44,19 +66,62 @@ class BlockWeights:
         return cls(make(dim, 3 * dim), make(dim, dim), make(dim, 2 * inner), make(inner, dim), heads)
 
 
-def block(x: np.ndarray, mask: np.ndarray, w: BlockWeights) -> np.ndarray:
-    """Attention with linear distance bias, then the gated feed-forward; both with residual norm."""
-    n, d = x.shape
-    q, k, v = (y.reshape(n, w.heads, d // w.heads).transpose(1, 0, 2) for y in np.split(x @ w.wqkv, 3, axis=1))
-    place = np.arange(n)
-    distance = np.abs(place[:, None] - place[None, :])
+@dataclass
+class PlainWeights:
+    """A block without distance bias and gate, as n-grams pass through; up is (d, m)."""
+
+    wqkv: np.ndarray
+    wo: np.ndarray
+    up: np.ndarray
+    down: np.ndarray
+    heads: int
+    bqkv: np.ndarray | None = None
+    bo: np.ndarray | None = None
+    bup: np.ndarray | None = None
+    bdown: np.ndarray | None = None
+    norm1: tuple[np.ndarray, np.ndarray] | None = None
+    norm2: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def block(x: np.ndarray, mask: np.ndarray, w: BlockWeights, subset: np.ndarray | None = None) -> np.ndarray:
+    """Attention with linear distance bias, then the gated feed-forward; both with residual norm. With a
+    subset, only these rows are made, though they attend to all."""
+    place = np.arange(len(x))
+    rows = place if subset is None else subset
+    distance = np.abs(rows[:, None] - place[None, :])
     bias = -np.array(alibi_slopes(w.heads))[:, None, None] * distance + (1.0 - mask)[None, None, :] * -10000.0
-    s = q @ k.transpose(0, 2, 1) / math.sqrt(d // w.heads) + bias
-    p = np.exp(s - s.max(-1, keepdims=True))
-    p /= p.sum(-1, keepdims=True)
-    x = norm((p @ v).transpose(1, 0, 2).reshape(n, d) @ w.wo + x)
+    mixed = attend(rows, linear(x, w.wqkv, w.bqkv), w.heads, bias)
+    x = norm(linear(mixed, w.wo, w.bo) + x[rows], w.norm1)
     gate, value = np.split(x @ w.gated, 2, axis=1)
-    return norm((gelu(gate) * value) @ w.down + x)
+    return norm(linear(gelu(gate) * value, w.down, w.bdown) + x, w.norm2)
+
+
+def plain_block(x: np.ndarray, mask: np.ndarray, w: PlainWeights) -> np.ndarray:
+    mixed = attend(np.arange(len(x)), linear(x, w.wqkv, w.bqkv), w.heads, (1.0 - mask)[None, None, :] * -10000.0)
+    x = norm(linear(mixed, w.wo, w.bo) + x, w.norm1)
+    return norm(linear(gelu(linear(x, w.up, w.bup)), w.down, w.bdown) + x, w.norm2)
+
+
+def forward(x: np.ndarray, mask: np.ndarray, layers: list[BlockWeights], grams: np.ndarray | None = None, gram_mask: np.ndarray | None = None, incidence: np.ndarray | None = None, gram_layers: list[PlainWeights] = (), subset: np.ndarray | None = None) -> np.ndarray:
+    """All layers over one sequence; after each of the first len(gram_layers) the n-grams pass through
+    theirs, and what covers a position is added to it (incidence: positions by n-grams, of which the
+    first rows count, one for each row that is attended to). Rows that aren't attended to come back as 0.
+    With a subset of positions, the last layer makes these alone and adds nothing."""
+    live = np.nonzero(mask == 1)[0]
+    packed, out = x[live], np.zeros_like(x, dtype=float)
+    if not len(live):
+        return out if subset is None else out[subset]
+    ones = np.ones(len(live))
+    for k, w in enumerate(layers):
+        last = subset is not None and k == len(layers) - 1
+        packed = block(packed, ones, w, np.searchsorted(live, subset) if last else None)
+        if last:
+            return packed
+        if k < len(gram_layers):
+            grams = plain_block(grams, gram_mask, gram_layers[k])
+            packed = packed + (incidence @ grams)[: len(packed)]
+    out[live] = packed
+    return out
 
 
 def encode(rows: DataFrame, seq: str, pos: str, vector: str, layers: list[BlockWeights], mask: str | None = None) -> DataFrame:

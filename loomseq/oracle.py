@@ -118,7 +118,7 @@ SELECT doc_id, pos, CAST(label AS INTEGER) AS label, label > 0 AS in_loss FROM f
     "cls_metrics_ignore": f"WITH {_LOGITS}, ok AS (SELECT * FROM lg WHERE vec_id % 7 <> 0), {_conf('ok')} SELECT {_METRICS} FROM sc",
     "metrics_history": f"""WITH {_LOGITS}, st AS (SELECT vec_id % 4 AS step, label, pred FROM lg), {_conf('st', 'step')}
 SELECT 'epoch_' || CAST(step // 2 AS VARCHAR) AS epoch_key, {_METRICS} FROM sc WHERE step % 2 = 1""",
-    "ragged_cu_seqlens": f"""WITH {_TOKS}, n AS (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n FROM toks)
+    "ragged_cu_seqlens": f"""WITH {_TOKEN_HALF}, n AS (SELECT doc_id, CAST(list_sum(masks) AS BIGINT) AS n FROM enc)
 SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cu_start, max(n) OVER () AS max_n FROM n""",
     "ragged_unpad": f"WITH {_TOKEN_HALF} SELECT doc_id, pos, id FROM rows_ WHERE mask = 1",
     "ragged_pad": f"WITH {_TOKEN_HALF} SELECT doc_id, string_agg(CAST(CASE WHEN mask = 1 THEN id ELSE 0 END AS VARCHAR), ' ' ORDER BY pos) AS ids FROM rows_ GROUP BY doc_id",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,24 +54,36 @@ def corpus_tokens(docs: DataFrame, size: int = TOKEN_VOCAB) -> DataFrame:
     return top.select("token", (rank + (len(SPECIALS) - 1)).cast("int").alias("id"))
 
 
-def token_half(docs: DataFrame, vocab: DataFrame, shape: Shape, pad: bool = True, key: str = "doc_id") -> DataFrame:
-    """(key, input_ids, attention_mask): truncated, with special tokens, padded, mapped to ids.
+def token_half(docs: DataFrame, vocab: DataFrame, shape: Shape, pad: bool = True, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., input_ids, attention_mask): truncated, with special tokens, padded, mapped to ids,
+    one row for each row of docs, whatever its key.
 
-    vocab must have at most TOKEN_VOCAB rows, as corpus_tokens() makes it; it is broadcast."""
+    vocab must have at most TOKEN_VOCAB rows, as corpus_tokens() makes it: the driver reads that many and
+    sends them to the workers, which look up whole Arrow batches of tokens; nothing is shuffled."""
     n = shape.max_seq_length
-    special = F.create_map(*[F.lit(x) for kv in SPECIALS.items() for x in kv])
+    rows = vocab.select("token", "id").limit(TOKEN_VOCAB + 1).collect()
+    if len(rows) > TOKEN_VOCAB:
+        raise ValueError("the vocabulary has more tokens than the model")
+    known = {r.token: r.id for r in rows} | SPECIALS
+    names, ids = pa.array(list(known), pa.string()), pa.array([*known.values(), SPECIALS["[UNK]"]], pa.int32())
     framed = tk.add_specials(tk.truncate(F.col("tokens"), n), "[CLS]", "[SEP]")
     framed = tk.pad_right(framed, n, "[PAD]") if pad else framed
-    base = docs.select(key, framed.alias("tokens"))
-    flat = base.select(key, F.posexplode("tokens").alias("pos", "token"))
-    ids = flat.join(F.broadcast(vocab), "token", "left").select(
-        key, "pos", F.coalesce(F.try_element_at(special, F.col("token")), "id", F.lit(SPECIALS["[UNK]"])).alias("id"),
-        (F.col("token") != "[PAD]").cast("int").alias("mask"),
-    )
-    rows = F.array_sort(F.collect_list(F.struct("pos", "id", "mask")))
-    return ids.groupBy(key).agg(rows.alias("_r")).select(
-        key, F.col("_r.id").alias("input_ids"), F.col("_r.mask").alias("attention_mask")
-    )
+    cols = [key, *keep]
+    base = docs.select(*cols, framed.alias("tokens"))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("tokens")
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), len(names))
+            found = ids.take(at)
+            ends = pc.cumulative_sum(pc.cast(pc.list_value_length(lists), pa.int32()))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            mask = pc.cast(pc.not_equal(lists.flatten(), "[PAD]"), pa.int32())
+            halves = [pa.ListArray.from_arrays(offsets, x) for x in (found, mask)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in cols] + halves, names=[*cols, "input_ids", "attention_mask"])
+
+    kinds = dict(base.dtypes)
+    return base.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", input_ids array<int>, attention_mask array<int>")
 
 
 def ngram_half(docs: DataFrame, dictionary: DataFrame, shape: Shape, key: str = "doc_id", dictionary_rows: int | None = NGRAM_VOCAB) -> DataFrame:
@@ -81,12 +95,14 @@ def ngram_half(docs: DataFrame, dictionary: DataFrame, shape: Shape, key: str =
 
 
 def records(docs: DataFrame, vocab: DataFrame, dictionary: DataFrame, shape: Shape = Shape(), pad: bool = True, key: str = "doc_id") -> DataFrame:
-    """(key, input_ids, attention_mask, ngrams); documents without a hit have an empty list."""
+    """(key, input_ids, attention_mask, ngrams); documents without a hit have an empty list. Rows that
+    share a key but not the tokens are documents of their own."""
     none = F.array().cast("array<struct<id:int,pos:array<int>>>")
+    named = docs.withColumn("_row", F.xxhash64(F.isnull(key), key, "tokens"))
     return (
-        token_half(docs, vocab, shape, pad, key)
-        .join(ngram_half(docs, dictionary, shape, key), key, "left")
-        .withColumn("ngrams", F.coalesce("ngrams", none))
+        token_half(named, vocab, shape, pad, key, ("_row",))
+        .join(ngram_half(named, dictionary, shape, "_row"), "_row", "left")
+        .withColumn("ngrams", F.coalesce("ngrams", none)).drop("_row")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomseq.functions import sequence as sq
 from loomseq.functions import tokens as tk
 from loomseq.functions import vectors as vec
-from loomseq.operators import attention, encoder, masking, metrics, ngrams, ragged
+from loomseq.operators import attention, encoder, masking, metrics, model, ngrams, ragged
 from loomseq.plans import records as rec
 
 SHAPE = rec.Shape()
@@ -222,8 +222,11 @@ def _token_rows(spark, sf):
 
 
 def ragged_cu_seqlens(spark, sf):
-    """WIN1, AGG9-10"""
-    counts = docs_of(spark, sf).select("doc_id", F.size("tokens").cast("bigint").alias("n"))
+    """WIN1, AGG9-10: the masks' sums, as the encoder sees the documents"""
+    docs = docs_of(spark, sf)
+    mask = F.col("attention_mask")
+    half = rec.token_half(docs, rec.corpus_tokens(docs), SHAPE)
+    counts = half.select("doc_id", F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     top = counts.agg(F.max("n").alias("max_n"))
     return ragged.cu_seqlens(counts, "doc_id").crossJoin(F.broadcast(top)).select("doc_id", "n", "cu_start", "max_n")  # one row
 
@@ -337,11 +340,28 @@ def encoder_forward(spark, sf):
     return pooled.select("seq_id", F.round(vec.total(F.col("v")), 6).alias("total"))
 
 
+def _model(labels=2):
+    return model.Model.fixed(rec.TOKEN_VOCAB, rec.NGRAM_VOCAB + 1, 8, 16, 2, 2, 1, labels, SEED)
+
+
+def zen_classify(spark, sf):
+    """Section 2.13: embeddings, fusion, encoder, pooler and classifier over whole records (rows only)"""
+    logits = model.classify(records_of(spark, sf), _model())
+    return logits.select("doc_id", F.transform("logits", lambda x: F.round(x, 6)).alias("logits"), vec.argmax(F.col("logits")).alias("pred"))
+
+
+def zen_masked_lm(spark, sf):
+    """Section 2.13: losses and predictions of masked tokens, last layer on these alone (rows only)"""
+    out = model.masked_tokens(_masked(spark, sf, True), _model())
+    return out.select("doc_id", F.size("positions").alias("n_masked"), joined("predicted"), F.round(vec.total(F.col("losses")), 5).alias("loss"))
+
+
 _ALL = [
     seq_complement, seq_kmer6, seq_kmer_counts, tok_truncate, tok_encode, pair_encode, ngram_hits, ngram_match_topk,
     ngram_matrix_rows, ngram_record, ngram_position_matrix, mask_select, mask_tokens, mask_whole_ngram, mlm_positions,
     label_stats, pred_argmax, cls_confusion, cls_metrics, cls_metrics_ignore, metrics_history, ragged_cu_seqlens,
     ragged_unpad, ragged_pad, alibi_bias, attn_weights, attn_output, ngram_fusion, embed_lookup_add, layer_norm,
     additive_mask, pool_first, loss_ce, loss_mse, loss_bce, gelu_values, encoder_forward,
+    zen_classify, zen_masked_lm,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

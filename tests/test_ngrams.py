@@ -106,3 +106,13 @@ def test_stream(spark, tmp_path):
     s = spark.readStream.schema("doc_id bigint, text string").parquet(src)
     matching.write_hits(matching.stream_hits(s, v, SMALL), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 4
+
+
+def test_rows_that_share_an_id(spark):
+    """Two texts under one id give two records of full length; a repeated row gives the same one twice."""
+    df = spark.createDataFrame([(1, "a b a b c"), (1, "c c d e a b"), (2, "a b"), (2, "a b"), (None, "d e")], "doc_id int, text string")
+    docs = rec.tokenised(df)
+    got = rec.records(docs, rec.corpus_tokens(docs), ngrams.corpus_dictionary(docs, "tokens", 2, 3, 2, 50)).collect()
+    assert len(got) == 5 and all(len(r.input_ids) == len(r.attention_mask) == 512 for r in got)
+    assert sorted(sum(r.attention_mask) for r in got) == [4, 4, 4, 7, 8]
+    assert [r.ngrams for r in got if r.doc_id == 2][0] == [r.ngrams for r in got if r.doc_id == 2][1] != []

@@ -107,3 +107,71 @@ def test_losses(spark):
     assert r.a == pytest.approx(math.log(1 + math.exp(-1))) and r.b == pytest.approx((0.25 + 900) / 2)
     assert r.c == pytest.approx((math.log1p(math.exp(-0.5)) + math.log1p(math.exp(-30))) / 2)
     assert attention.problem_type(1, "double") == "regression" and attention.problem_type(3, "int").startswith("single")
+
+
+def test_erf():
+    import math
+
+    from loomseq.functions.vectors import erf
+
+    x = np.concatenate([np.linspace(-8, 8, 4001), [0.0, 1e-9, 40.0, -40.0]])
+    assert np.abs(erf(x) - [math.erf(v) for v in x]).max() < 1e-14
+
+
+def slow_block(x, w, slopes, gated):
+    """Row by row and head by head."""
+    n, d = x.shape
+    size = d // w.heads
+    qkv = [[sum(x[i][a] * w.wqkv[a][b] for a in range(d)) + w.bqkv[b] for b in range(3 * d)] for i in range(n)]
+    mixed = np.zeros((n, d))
+    for h in range(w.heads):
+        q, k, v = (np.array([r[s * d + h * size : s * d + (h + 1) * size] for r in qkv]) for s in range(3))
+        for i in range(n):
+            e = np.array([np.exp(q[i] @ k[j] / size**0.5 - slopes[h] * abs(i - j)) for j in range(n)])
+            mixed[i, h * size : (h + 1) * size] = sum(e[j] * v[j] for j in range(n)) / e.sum()
+
+    def scaled(y, s):
+        return (y - y.mean()) / np.sqrt(y.var() + 1e-12) * s[0] + s[1]
+
+    import math
+
+    act = lambda v: np.array([0.5 * a * (1 + math.erf(a / 2**0.5)) for a in v])
+    out = []
+    for i in range(n):
+        y = scaled(mixed[i] @ w.wo + w.bo + x[i], w.norm1)
+        z = (act((y @ w.gated)[: len(w.down)]) * (y @ w.gated)[len(w.down) :]) if gated else act(y @ w.up + w.bup)
+        out.append(scaled(z @ w.down + w.bdown + y, w.norm2))
+    return np.array(out)
+
+
+def test_model_with_fusion(spark):
+    """Biases, norms, fusion, padding, the subset path and both heads against loops."""
+    from loomseq.functions.vectors import alibi_slopes
+    from loomseq.operators import model
+
+    m = model.Model.fixed(20, 9, 8, 6, 2, 2, 1, 3, 1)
+    ids, mask = [2, 7, 9, 11, 3, 0, 0], [1, 1, 1, 1, 1, 0, 0]
+    grams = [(4, [1, 2]), (2, [2, 3])]
+    x = m.embed(np.array(ids[:5]))
+    g = slow_block(m.embed_grams(np.array([4, 2])), m.gram_layers[0], [0, 0], False)
+    x = slow_block(x, m.layers[0], alibi_slopes(2), True)
+    for k, (_, at) in enumerate(grams):
+        for p in at:
+            x[p] = x[p] + g[k]
+    x = slow_block(x, m.layers[1], alibi_slopes(2), True)
+    got = m.hidden(ids, mask, grams)
+    assert got[:5] == pytest.approx(x, abs=1e-9) and (got[5:] == 0).all()
+    assert m.hidden(ids, mask, grams, np.array([0, 3])) == pytest.approx(x[[0, 3]], abs=1e-9)
+    zero = m.embed_grams(np.array([0]))
+    m.gram_table[0] += 5
+    assert (m.embed_grams(np.array([0])) == zero).all()  # the padding id has no vector
+    rows = [(1, ids, mask, [{"id": a, "pos": b} for a, b in grams], [-100, 7, -100, 5, -100, -100, -100]), (2, [2, 3], [1, 1], [], [-100, -100])]
+    df = spark.createDataFrame(rows, "doc_id int, input_ids array<int>, attention_mask array<int>, ngrams array<struct<id:int,pos:array<int>>>, labels array<int>")
+    logits = {r.doc_id: r.logits for r in model.classify(df, m).collect()}
+    want = np.tanh(x[0] @ m.pooler[0] + m.pooler[1]) @ m.classifier[0] + m.classifier[1]
+    assert logits[1] == pytest.approx(want.tolist()) and len(logits[2]) == 3
+    one, none = sorted(model.masked_tokens(df, m).collect())
+    z = m.token_logits(x[[1, 3]])
+    loss = [float(np.log(np.exp(a).sum()) - a[y]) for a, y in zip(z, (7, 5))]
+    assert one.positions == [1, 3] and one.predicted == z.argmax(1).tolist() and one.losses == pytest.approx(loss)
+    assert (none.positions, none.predicted, none.losses) == ([], [], [])
