@@ -41,6 +41,17 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(make) -> tuple[DataFrame, str]:
+    """What make() gives, written, and its folder; tables that were written on the way go."""
+    before = len(_made)
+    out, path = written(make())
+    for spark, p in _made[before:]:
+        if p != path:
+            drop_scratch(spark, p)
+    _made[before:] = [x for x in _made[before:] if x[1] == path]
+    return out, path
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
