@@ -353,6 +353,7 @@ def test_pipeline_stages(spark, tmp_path):
     """Each stage against what its own definition says of its input."""
     import corpus_pipeline
     from loomseq.llm import toxicity
+    from loomseq.llm.common import materialise
 
     r = random.Random(8)
     base = [" ".join(f"t{r.randrange(3000)}" for _ in range(r.choice([40, 150]))) for _ in range(120)]
@@ -366,7 +367,7 @@ def test_pipeline_stages(spark, tmp_path):
     now = spark.read.parquet(f"{folder}/documents.parquet")
     columns, kept = now.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        now = corpus_pipeline.materialise(stage(spark, now, folder))
+        now = materialise(stage(spark, now, folder))
         if k < 4:
             assert now.columns == columns
         kept.append({x.doc_id for x in now.select("doc_id").collect()})
