@@ -101,12 +101,12 @@ def associated(terms: list[np.ndarray], y: np.ndarray, size: int, least: int = 2
     return np.sort(order[chi[order] > 0])
 
 
-def interacting(terms: list[np.ndarray], y: np.ndarray, among: int = 2048, size: int = 64, least: float = 400.0) -> np.ndarray:
-    """Buckets of the pairs that tell more together than by their parts: all pairs of the `among` most
-    frequent buckets (in at most nine rows of ten) are counted, and those whose difference of differences
-    in y's share is over sqrt(least) times its deviation give their buckets, the strongest first, up to
-    `size`; so a pair counts whose parts tell nothing alone. Rows with the same terms count once, or copies
-    would look like pairs. The bar is far above chance, as rows of one kind share more than a pair."""
+def interacting(terms: list[np.ndarray], y: np.ndarray, bars: tuple[float, ...], among: int = 2048, size: int = 64) -> list[np.ndarray]:
+    """For each bar, buckets of the pairs that tell more together than by their parts: all pairs of the
+    `among` most frequent buckets (in at most nine rows of ten) are counted, and those whose difference of
+    differences in y's share is over sqrt(bar) times its deviation give their buckets, the strongest first,
+    up to `size`; so a pair counts whose parts tell nothing alone. Rows with the same terms count once, or
+    copies would look like pairs."""
     alike = {(t.tobytes(), v): k for k, (t, v) in reversed(list(enumerate(zip(terms, y.tolist()))))}
     once = sorted(alike.values())
     terms, y = [terms[k] for k in once], y[once]
@@ -115,7 +115,7 @@ def interacting(terms: list[np.ndarray], y: np.ndarray, among: int = 2048, size:
     order = np.lexsort((np.arange(BUCKETS), -seen))
     order = order[(seen[order] >= 16) & (seen[order] <= 0.9 * n)][:among]
     if len(order) < 2:
-        return np.zeros(0, np.int64)
+        return [np.zeros(0, np.int64) for _ in bars]
     both = np.zeros((len(order), len(order)), np.float32)
     hit = both.copy()
     for c in range(0, n, 1024):  # rows at a time, so that memory doesn't grow with them
@@ -130,11 +130,14 @@ def interacting(terms: list[np.ndarray], y: np.ndarray, among: int = 2048, size:
     gap = sum(sign * h / np.maximum(k, 1) for sign, (k, h) in zip((1, -1, -1, 1), cells))
     spread = pos / n * (1 - pos / n) * sum(1 / np.maximum(k, 1) for k, _ in cells)
     strong = np.triu(np.where(enough, gap * gap / np.maximum(spread, 1e-12), 0.0), 1)
-    i, j = np.nonzero(strong > least)
-    best = np.lexsort((j, i, -strong[i, j]))
-    flat = np.stack([order[i[best]], order[j[best]]], axis=1).reshape(-1)
-    _, first = np.unique(flat, return_index=True)
-    return np.sort(flat[np.sort(first)[:size]])
+    out = []
+    for bar in bars:
+        i, j = np.nonzero(strong > bar)
+        best = np.lexsort((j, i, -strong[i, j]))
+        flat = np.stack([order[i[best]], order[j[best]]], axis=1).reshape(-1)
+        _, first = np.unique(flat, return_index=True)
+        out.append(np.sort(flat[np.sort(first)[:size]]))
+    return out
 
 
 class Rows:

@@ -471,6 +471,17 @@ def test_machine_learns_a_pair_without_single_effects():
     assert np.mean((m.logits(x) > 0) == (np.array(y[6000:]) > 0)) >= 0.95
 
 
+def test_bar_for_pairs_is_picked_on_rows_to_learn_from():
+    """A pair that decides passes the bar; where one word decides, no pair is taken."""
+    r = random.Random(15)
+    rows = [np.unique([100 + r.randrange(300) for _ in range(20)] + [7] * (r.random() < 0.5) + [9] * (r.random() < 0.5)) for _ in range(3000)]
+    one = np.array([float(7 in x) for x in rows])
+    odd = np.array([float((7 in x) != (9 in x)) for x in rows])
+    single = terms.associated(rows, one, 187)
+    assert set(toxicity.train(rows, one).chosen) == set(single)
+    assert {7, 9} <= set(toxicity.train(rows, odd).chosen)
+
+
 def test_fit_of_repeated_ids(spark):
     """Of rows that share an id one text counts, the same one however they are dealt."""
     docs, labels = toxic_corpus(300)
