@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomseq.llm.common import materialise
+from loomseq.llm.common import give_back, materialise
 
 BLOCK, CHUNK = 4096, 1 << 16
 OUT = "id bigint, links bigint, root bigint"
@@ -158,6 +158,8 @@ def linked(rows: DataFrame, load, verify, block: int = BLOCK) -> DataFrame:
                 tail = b.slice(last)
         if tail is not None:
             yield from part(tail, np.array([0, tail.num_rows]))
+        tail = b = None
+        give_back()
 
     def part(b, bounds):
         """Finished buckets; those over a block go out as blocks."""
@@ -206,6 +208,8 @@ def _dealt(large: DataFrame, names: list[str], load, verify) -> DataFrame:
             held = [t.slice(bounds[-2])]
         for t in held:
             yield from one(t)
+        held = t = b = None
+        give_back()
 
     def one(t):
         own, x, y = (np.asarray(t.column(c)) for c in ("own", "x", "y"))

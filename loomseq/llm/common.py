@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -86,10 +87,21 @@ def map_batches(df: DataFrame, fn, schema, rows: int = 256) -> DataFrame:
                 out = fn(whole.slice(c, rows))
                 for x in [out] if isinstance(out, (dict, pa.RecordBatch)) else out:
                     yield as_batch(x, target)
+            whole = out = x = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that Arrow and malloc hold in reserve goes back to the system. A worker outlives its tasks,
+    and several of a stage's workers stand beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def as_batch(x, target: pa.Schema) -> pa.RecordBatch:
     cols = []
     for f in target:
