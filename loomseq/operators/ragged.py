@@ -3,9 +3,11 @@ packed tensors, so unpadding is a filter and padding a left join from the grid."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.operators.scan import prefix_sums
+
 
 def unpad(rows: DataFrame, mask: str = "mask") -> DataFrame:
     """Keep rows whose mask is 1."""
@@ -16,21 +18,12 @@ def lengths(rows: DataFrame, key: str, mask: str = "mask") -> DataFrame:
     return rows.groupBy(key).agg(F.sum(F.col(mask).cast("bigint")).alias("n"))
 
 
-def cu_seqlens(counts: DataFrame, key: str, n: str = "n", shards: int = 64) -> DataFrame:
-    """Exclusive prefix sum of n in key order, as (key, n, cu_start).
-
-    Rows are dealt by ranges of the key; only one total per range meets in a single task, so no
-    task sees all keys."""
-    dealt = counts.repartitionByRange(shards, key).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(F.sum(n).alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    # At most `shards` rows are broadcast.
-    return (
-        dealt.join(F.broadcast(base), "_part")
-        .select(*counts.columns, (F.col("_base") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias("cu_start"))
-    )
+def cu_seqlens(counts: DataFrame, key: str, n: str = "n", shards: int | None = None) -> DataFrame:
+    """Exclusive prefix sum of n in key order, as cu_start beside all columns of counts; other columns decide
+    among rows that share a key. No task sees all rows, see scan.py."""
+    others = [c for c in counts.columns if c not in (key, n)]
+    tie = counts.withColumn("_tie", F.xxhash64(*others) if others else F.lit(0))
+    return prefix_sums(tie, [key, n, "_tie"], {"cu_start": n}, shards=shards).drop("_tie")
 
 
 def pad(rows: DataFrame, keys: DataFrame, key: str, pos: str, value: str, seq_length: int, fill) -> DataFrame:
