@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomseq.llm import html, langid, lattice, mixing, packing, quality, simhash, substring, tiff, toxicity
+from loomseq.llm import funnel, html, langid, lattice, mixing, packing, quality, simhash, substring, tiff, toxicity, urlfilter
+from loomseq.llm.oracle import FUNNELS, ORACLE, RULES
 
 
 def _table(spark, sf_dir, name):
@@ -55,13 +56,21 @@ def op10_substring(spark, sf):
     return substring.report(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op12_funnel(spark, sf):
+    return funnel.counts(_table(spark, sf, "clicks"), [funnel.Funnel(*f) for f in FUNNELS])
+
+
+def op13_urlfilter(spark, sf):
+    return urlfilter.judge(_table(spark, sf, "pages"), urlfilter.rules_of(spark, *RULES))
+
+
 def queries():
     import corpus_pipeline
 
-    ops = [op1_toxicity, op2_simhash, op3_quality, op4_packing, op5_tiff, op6_langid, op7_mixing, op8_embeddings, op9_html, op10_substring]
+    ops = [op1_toxicity, op2_simhash, op3_quality, op4_packing, op5_tiff, op6_langid, op7_mixing, op8_embeddings, op9_html, op10_substring, op12_funnel, op13_urlfilter]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    """None: votes over hashes, tokens, fits and flights have no SQL; tests compare with brute force."""
-    return {}
+    """Votes over hashes, tokens, fits and flights have no SQL; tests compare with brute force."""
+    return ORACLE
