@@ -31,9 +31,23 @@ a{k} AS (SELECT client_id, t1, nt AS p, nt - p AS d{k}, i FROM b{k} b WHERE nt -
     return f"(WITH {', '.join(out)} SELECT '{name}' AS funnel, client_id, {n}, CAST(max(step) AS INTEGER) AS deepest, {q} FROM ({steps_of}) GROUP BY client_id)"
 
 
+#: CRC-32 of decimal c, bit by bit over its ASCII codes.
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), k, 1)) AS BIGINT)),
+  lambda a, b: list_reduce(range(0, 8), lambda z, k: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(a, b)), 4294967295))"""
+_TRIE = f"""o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS l, {_CRC} % 9 AS h FROM o GROUP BY c),
+rb AS (SELECT a.c, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS t FROM l a LEFT JOIN l b ON b.c = a.c - a.c % 5),
+m AS (SELECT c, d, len(t) AS n, t[1:d] AS p, min(c) OVER (PARTITION BY d, t[1:d]) AS rep FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rb)),
+nd AS (SELECT rep, d, count(*) AS n, any_value(CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].text) END) AS bytes, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends FROM m GROUP BY rep, d),
+pr AS (SELECT nd.*, m.rep AS parent FROM nd LEFT JOIN m ON m.c = nd.rep AND m.d = nd.d - 1),
+ch AS (SELECT parent AS rep, d - 1 AS d, count(*) AS k FROM pr WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT pr.*, coalesce(k, 0) AS k FROM pr LEFT JOIN ch USING (rep, d)),
+sub AS (SELECT m.rep, m.d, count(*) FILTER (u.k = 0) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved FROM full_ u JOIN m ON m.c = u.rep AND m.d <= u.d GROUP BY ALL)"""
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in RULES)
 
 ORACLE = {
+    "op11_trie": f"""WITH {_TRIE} SELECT rep AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+sha256(coalesce(ends, '')) AS ends_sha256 FROM full_ JOIN sub USING (rep, d)""",
     "op12_funnel": f"""WITH r AS (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
 f AS ({' UNION ALL '.join(_funnel(*f) for f in FUNNELS)})
 SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM f""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomseq.llm import funnel, html, langid, lattice, mixing, packing, quality, simhash, substring, tiff, toxicity, urlfilter
+from loomseq.llm import funnel, html, langid, lattice, mixing, packing, quality, simhash, substring, tiff, toxicity, trie, urlfilter
 from loomseq.llm.oracle import FUNNELS, ORACLE, RULES
 
 
@@ -56,6 +56,10 @@ def op10_substring(spark, sf):
     return substring.report(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op11_trie(spark, sf):
+    return trie.nodes(*trie.rebuilt(trie.numbered(_table(spark, sf, "conversations"))))
+
+
 def op12_funnel(spark, sf):
     return funnel.counts(_table(spark, sf, "clicks"), [funnel.Funnel(*f) for f in FUNNELS])
 
@@ -67,7 +71,7 @@ def op13_urlfilter(spark, sf):
 def queries():
     import corpus_pipeline
 
-    ops = [op1_toxicity, op2_simhash, op3_quality, op4_packing, op5_tiff, op6_langid, op7_mixing, op8_embeddings, op9_html, op10_substring, op12_funnel, op13_urlfilter]
+    ops = [op1_toxicity, op2_simhash, op3_quality, op4_packing, op5_tiff, op6_langid, op7_mixing, op8_embeddings, op9_html, op10_substring, op11_trie, op12_funnel, op13_urlfilter]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
