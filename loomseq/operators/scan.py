@@ -27,14 +27,13 @@ def dealt(df: DataFrame, keys: list, name: str = SHARD, shards: int | None = Non
 def bases(table: DataFrame, by: list[str], sums: dict[str, str], name: str = SHARD) -> DataFrame:
     """(shard, by..., sums...): what a group has in earlier shards, for groups that began in one.
 
-    Only the first group of a shard can have begun before it, so this has at most a row for each shard; and
-    only groups at a shard's border are added up."""
-    totals = [F.sum(c).alias(n) for n, c in sums.items()]
+    Only the first group of a shard can have begun before it, so this has at most a row for each shard. Sums
+    are added up before they are shuffled."""
+    pieces = table.groupBy(name, *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if by:
         edge = table.groupBy(name).agg(F.min(F.struct(*by)).alias("_lo"), F.max(F.struct(*by)).alias("_hi"))
         own = F.struct(*by)
-        table = table.join(F.broadcast(edge), name).where(own.eqNullSafe(F.col("_lo")) | own.eqNullSafe(F.col("_hi")))
-    pieces = table.groupBy(name, *by).agg(*totals)
+        pieces = pieces.join(F.broadcast(edge), name).where(own.eqNullSafe(F.col("_lo")) | own.eqNullSafe(F.col("_hi")))
     before = Window.partitionBy(*by).orderBy(name)  # at most two rows a shard, one without groups
     past = [F.sum(n).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n in sums]
     return pieces.select(name, *by, F.row_number().over(before).alias("_nth"), *past).where("_nth > 1").drop("_nth")
