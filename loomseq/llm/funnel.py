@@ -8,7 +8,7 @@ The difference of an excluded kind's counts at both rows tells whether such a ro
 Skew: counts come from a two-level scan over ranges of (client, time), so a client with a third of all rows is
 spread over as many shards as its rows need. The join's keys hold an ordinal, so they are as fine as the rows.
 Attempts that wait for the same next row share a key; where a flood of them does, adaptive execution cuts the
-partition of that join, which has the plain form it can cut. Totals are added up before they are shuffled. A
+partition of that join, which has the plain form that it can cut. Totals are added up before they are shuffled. A
 quantile is found in two levels, by the upper and then by the lower half of a time's bits, so that no task
 sees more than about sqrt(within) values of a client's step, however many attempts it has.
 
@@ -65,35 +65,45 @@ def counted(clicks: DataFrame, kinds: list[str], client: str, kind: str, at: str
     return fixed(scan.prefix_sums(flags, ["t"], sums, by=["client"], inclusive=True).select("client", "t", "mask", F.array(*sums).alias("n")))
 
 
-def attempts(table: DataFrame, funnels: list[Funnel], kinds: list[str]) -> DataFrame:
-    """(funnel, client, d): one row for each first step; d has the microseconds from the previous step to each
-    later one, null from where the attempt ends."""
-    width = max(len(f.steps) for f in funnels)
-    place = {k: i for i, k in enumerate(kinds)}
-    known = [F.struct(
-        F.lit(i).alias("funnel"), F.lit(f.within).cast("bigint").alias("within"), F.lit(place[f.exclude]).alias("x"),
-        F.array(*[F.lit(place[s]) for s in f.steps]).alias("steps"),
-    ) for i, f in enumerate(funnels)]
-    has = lambda k: F.call_function("getbit", F.col("mask"), k) == 1
-    begun = F.filter(F.array(*known), lambda f: has(F.get(f["steps"], F.lit(0))))
-    later = sorted({place[s] for f in funnels for s in f.steps[1:]})
-    offered = F.filter(F.array(*[F.lit(k) for k in later]), has)
-    targets = table.select("client", "t", "n", F.explode(offered).alias("kind")).select(
+def _choose(values: list, funnel: Column) -> Column:
+    """The funnel's own value of a list with one for each funnel; rows carry the funnel's number alone."""
+    return F.get(F.array(*[F.lit(v) for v in values]), funnel)
+
+
+def first_steps(table: DataFrame, funnels: list[Funnel], kinds: list[str]) -> DataFrame:
+    """table with a row for each funnel that begins with a kind of the row: its number as funnel."""
+    begins = [F.when(_has(F.lit(kinds.index(f.steps[0]))), F.lit(i)) for i, f in enumerate(funnels)]
+    return table.withColumn("funnel", F.explode(F.array_compact(F.array(*begins))))
+
+
+def _has(k: Column) -> Column:
+    return F.call_function("getbit", F.col("mask"), k) == 1
+
+
+def reached(table: DataFrame, funnels: list[Funnel], kinds: list[str]) -> DataFrame:
+    """(funnel, client, d): one row for each attempt that reached its second step; d has the microseconds from the
+    previous step to each later one, null from where the attempt ends."""
+    width, f = max(len(f.steps) for f in funnels), F.col("funnel")
+    step = lambda i: _choose([kinds.index(x.steps[i]) if i < len(x.steps) else None for x in funnels], f)
+    excluded, within = _choose([kinds.index(x.exclude) for x in funnels], f), _choose([x.within for x in funnels], f)
+    later = sorted({kinds.index(s) for x in funnels for s in x.steps[1:]})
+    targets = table.select("client", "t", "n", F.explode(F.filter(F.array(*[F.lit(k) for k in later]), _has)).alias("kind")).select(
         "client", "kind", F.get("n", F.col("kind")).alias("ordinal"), F.col("t").alias("t_next"), F.col("n").alias("n_next")
     )
-    now = table.select("client", F.col("t").alias("t0"), F.col("t").alias("t"), "n", F.explode(begun).alias("f")).select("client", "t0", "t", "n", "f.*")
-    nth = F.get("n", F.get("steps", F.lit(0)))
-    now = now.withColumns({"own": nth, "past": F.get("n", F.col("x")), "next": F.get("n", F.get("steps", F.lit(1))) + 1}).drop("n")
+    now = first_steps(table, funnels, kinds).select(
+        "client", "funnel", F.col("t").alias("t0"), F.col("t"), F.get("n", step(0)).alias("own"), F.get("n", excluded).alias("past"), (F.get("n", step(1)) + 1).alias("next")
+    )
     for i in range(1, width):
-        kind = F.get("steps", F.lit(i))
         # An ended attempt looks for an ordinal of its own that no row has, so that ended ones aren't gathered.
-        left = now.withColumns({"kind": F.coalesce(kind, F.lit(-1)), "ordinal": F.coalesce("next", -F.col("own"))})
-        met = left.join(targets, ["client", "kind", "ordinal"], "left")
-        reached = (F.col("t_next") - F.col("t0") <= F.col("within")) & (F.get("n_next", F.col("x")) == F.col("past"))
+        left = now.withColumns({"kind": F.coalesce(step(i), F.lit(-1)), "ordinal": F.coalesce("next", -F.col("own"))}).drop("next")
+        got = (F.col("t_next") - F.col("t0") <= within) & (F.get("n_next", excluded) == F.col("past"))
+        met = left.join(targets, ["client", "kind", "ordinal"], "inner" if i == 1 else "left")
+        if i == 1:
+            met, got = met.where(got), F.lit(True)
+        onward = step(i + 1) if i + 1 < width else F.lit(None).cast("int")
         now = met.select(
-            "client", "t0", "funnel", "within", "x", "steps", "own", "past", *[f"d{j}" for j in range(1, i)],
-            F.when(reached, F.col("t_next") - F.col("t")).alias(f"d{i}"),
-            F.when(reached, F.get("n_next", F.get("steps", F.lit(i + 1))) + 1).alias("next"), F.col("t_next").alias("t"),
+            "client", "funnel", "t0", "own", "past", *[f"d{j}" for j in range(1, i)], F.when(got, F.col("t_next") - F.col("t")).alias(f"d{i}"),
+            F.when(got, F.get("n_next", onward) + 1).alias("next"), F.when(got, F.col("t_next")).alias("t"),
         )
     return now.select("funnel", "client", F.array(*[f"d{i}" for i in range(1, width)]).alias("d"))
 
@@ -123,12 +133,10 @@ def counts(clicks: DataFrame, funnels: list[Funnel], client: str = "client_id",
     kinds = sorted({k for f in funnels for k in (*f.steps, f.exclude)})
     width, longest = max(len(f.steps) for f in funnels), max(f.within for f in funnels)
     table = counted(clicks, kinds, client, kind, at)
-    steps = F.filter(
-        F.concat(F.array(F.struct(F.lit(1).alias("step"), F.lit(0).cast("bigint").alias("d"))), F.transform("d", lambda d, i: F.struct((i + 2).alias("step"), d.alias("d")))),
-        lambda s: s["d"].isNotNull(),
-    )
-    each = attempts(table, funnels, kinds).select("funnel", "client", F.explode(steps).alias("s"))
-    times = fixed(each.groupBy("funnel", "client", "s.step", "s.d").agg(F.count(F.lit(1)).alias("n")))
+    steps = F.filter(F.transform("d", lambda d, i: F.struct((i + 2).alias("step"), d.alias("d"))), lambda s: s["d"].isNotNull())
+    each = reached(table, funnels, kinds).select("funnel", "client", F.explode(steps).alias("s")).select("funnel", "client", "s.step", "s.d")
+    begun = first_steps(table, funnels, kinds).select("funnel", "client", F.lit(1).alias("step"), F.lit(0).cast("bigint").alias("d"))
+    times = fixed(each.unionByName(begun).groupBy("funnel", "client", "step", "d").agg(F.count(F.lit(1)).alias("n")))
     totals = times.groupBy("funnel", "client").agg(
         *[F.sum(F.when(F.col("step") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(1, width + 1)], F.max("step").alias("deepest")
     )
