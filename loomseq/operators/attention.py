@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.vectors import add, alibi_bias, dot, log_softmax_at
+from loomseq.operators.skew import lookup
 
 
 def scores(rows: DataFrame, seq: str, pos: str, q: str, k: str, dim: int, slope: float) -> DataFrame:
@@ -35,6 +36,57 @@ def weighted_values(weighted: DataFrame, rows: DataFrame, seq: str, pos: str, v:
     )
 
 
+#: Rows of a block of keys; a sequence of any length is cut into blocks of so many.
+BLOCK = 64
+
+
+def vector_sum(rows: DataFrame, by: list[str], vector: str, dim: int, weight: Column | None = None) -> DataFrame:
+    """(by..., vector): sums of vectors of dim components, as one aggregate for each; what a task has of a key is
+    added up before the shuffle, and no row is made for a component."""
+    part = lambda i: F.get(vector, F.lit(i)) if weight is None else weight * F.get(vector, F.lit(i))
+    sums = rows.groupBy(*by).agg(*[F.sum(part(i)).alias(f"_{i}") for i in range(dim)])
+    return sums.select(*by, F.array(*[f"_{i}" for i in range(dim)]).alias(vector))
+
+
+def attend(rows: DataFrame, seq: str, pos: str, q: str, k: str, v: str, dim: int, slope: float, block: int = BLOCK) -> DataFrame:
+    """(seq, qpos, value): softmax attention of every query over its whole sequence, as vectors (JOIN6, WIN3, AGG11).
+
+    Keys and values meet a query in blocks. A block gives a state: the largest score m, the sum s of exp(score - m),
+    and the sum a of exp(score - m) times the values. Two states merge by scaling to the larger m, so a query's states
+    are folded to one; a row is made for a query and block, none for a pair or a component. All blocks of a query
+    meet in one row: one state for each `block` keys of its sequence."""
+    own = rows.select(seq, F.col(pos).alias("pos"), F.col(q).alias("q"), F.struct(F.col(pos).alias("pos"), F.col(k).alias("k"), F.col(v).alias("v")).alias("kv"))
+    blocks = own.groupBy(seq, F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list("kv")).alias("kvs"))
+    met = own.select(seq, F.col("pos").alias("qpos"), "q").join(blocks, seq)
+    score = lambda x: dot(F.col("q"), x["k"]) / F.sqrt(F.lit(float(dim))) + alibi_bias(F.lit(slope), F.col("qpos"), x["pos"])
+    scored = met.withColumn("scores", F.transform("kvs", score)).withColumn("m", F.array_max("scores"))
+    zero = F.array_repeat(F.lit(0.0), F.size(F.get("kvs", F.lit(0))["v"]))
+    weighed = scored.withColumn("e", F.transform("scores", lambda x: F.exp(x - F.col("m"))))
+    pairs = F.zip_with("e", "kvs", lambda e, x: F.struct(e.alias("e"), x["v"].alias("v")))
+    summed = F.aggregate(pairs, zero, lambda a, x: F.zip_with(a, x["v"], lambda s, y: s + x["e"] * y))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    states = weighed.select(seq, "qpos", F.struct("block", "m", total.alias("s"), summed.alias("a")).alias("state"))
+    ordered = states.groupBy(seq, "qpos").agg(F.array_sort(F.collect_list("state")).alias("states"))
+
+    def merge(x, y):
+        top = F.greatest(x["m"], y["m"])
+        left, right = F.exp(x["m"] - top), F.exp(y["m"] - top)
+        return F.struct(x["block"].alias("block"), top.alias("m"), (x["s"] * left + y["s"] * right).alias("s"), F.zip_with(x["a"], y["a"], lambda a, b: a * left + b * right).alias("a"))
+
+    rest = F.slice("states", F.lit(2), F.size("states"))
+    last = F.aggregate(rest, F.get("states", F.lit(0)), merge)
+    return ordered.select(seq, "qpos", last.alias("z")).select(seq, "qpos", F.transform("z.a", lambda a: a / F.col("z.s")).alias("value"))
+
+
+def fuse_vectors(tokens: DataFrame, incidence: DataFrame, ngrams: DataFrame, dim: int, key: str = "doc_id", vector: str = "v") -> DataFrame:
+    """hidden[pos] += sum of the vectors of the n-grams that cover it, whole vectors at a time (JOIN5).
+
+    tokens (key, pos, vector), incidence (key, rk, pos), ngrams (key, rk, vector)."""
+    extra = vector_sum(incidence.join(ngrams.withColumnRenamed(vector, "_g"), [key, "rk"]), [key, "pos"], "_g", dim)
+    both = tokens.join(extra, [key, "pos"], "left")
+    return both.withColumn(vector, F.when(F.col("_g").isNull(), F.col(vector)).otherwise(add(F.col(vector), F.col("_g")))).drop("_g")
+
+
 def fuse(tokens: DataFrame, incidence: DataFrame, ngrams: DataFrame, key: str = "doc_id") -> DataFrame:
     """hidden[pos] += sum of the vectors of the n-grams that cover it; positions without one stay.
 
@@ -48,9 +100,11 @@ def fuse(tokens: DataFrame, incidence: DataFrame, ngrams: DataFrame, key: str =
 
 def embed(ids: DataFrame, table: DataFrame, type_vector: Column, id_col: str = "id", vector: str = "vector", table_rows: int | None = None) -> DataFrame:
     """Look up token vectors and add the type vector. The table is broadcast only when its given
-    row bound allows it."""
+    row bound allows it; otherwise ids that hold much of the rows (padding, unknown) are looked up apart from the
+    rest, see skew.py, so that none fills a task."""
     small = table_rows is not None and table_rows <= 100_000
-    return ids.join(F.broadcast(table) if small else table, id_col).withColumn(vector, add(F.col(vector), type_vector))
+    met = ids.join(F.broadcast(table), id_col) if small else lookup(ids, table, [id_col], "inner")
+    return met.withColumn(vector, add(F.col(vector), type_vector))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:

@@ -1,7 +1,7 @@
 """Dictionary matching of token n-grams (JOIN1-3, AGG1-2, SRT1-3, WIN2, CMP1).
 
-The dictionary is joined as a broadcast table. Its size is bounded by MAX_BROADCAST_ROWS: a larger
-one is joined by shuffle instead, with adaptive skew handling left to Spark.
+The dictionary is joined as a broadcast table. Its size is bounded by MAX_BROADCAST_ROWS: with a larger one, windows
+become 64-bit keys, a Bloom filter of the dictionary's keys drops what can't match, and only the rest is shuffled.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.operators import bloom
+
 #: About 50 MB of short strings. The published dictionary has 162,708 entries.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -38,13 +40,43 @@ def hits(docs: DataFrame, tokens: str, dictionary: DataFrame, low: int, high: in
     """Matches as (key, ngram, ngram_id, start, end), half-open and 0-based.
 
     dictionary_rows is a proven bound of the dictionary's size; only with one that is small enough
-    is the dictionary broadcast."""
+    is the dictionary broadcast. Otherwise see filtered_windows()."""
     small = dictionary_rows is not None and dictionary_rows <= MAX_BROADCAST_ROWS
+    if small:
+        found = windows(docs, tokens, low, high, key).join(F.broadcast(dictionary), "ngram")
+    else:
+        found = filtered_windows(docs, tokens, dictionary, low, high, key, dictionary_rows).join(keyed(dictionary), ["_key", "ngram"])
     return (
-        windows(docs, tokens, low, high, key)
-        .join(F.broadcast(dictionary) if small else dictionary, "ngram")
-        .select(key, "ngram", "ngram_id", "start", (F.col("start") + F.col("len")).cast("int").alias("end"))
+        found.select(key, "ngram", "ngram_id", "start", (F.col("start") + F.col("len")).cast("int").alias("end"))
+    )
+
+
+def keyed(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with its windows' 64-bit keys: a hash of the tokens' hashes."""
+    return dictionary.withColumn("_key", F.xxhash64(F.transform(F.split("ngram", " "), lambda t: F.xxhash64(t))))
+
+
+def filtered_windows(docs: DataFrame, tokens: str, dictionary: DataFrame, low: int, high: int, key: str = "doc_id", dictionary_rows: int | None = None) -> DataFrame:
+    """(key, start, len, _key, ngram): windows that may be in a dictionary of any size.
+
+    Tokens are hashed once for each row, a window's key is the hash of its part of these, and the string is made
+    for those alone that the filter lets pass; the join compares it. Without a bound of the dictionary's rows they
+    are counted. Beyond bloom.MAX_WORDS there is no filter, and all windows are shuffled."""
+    longest = F.least(F.lit(high), F.size("tokens") - F.col("start"))
+    n = dictionary.count() if dictionary_rows is None else dictionary_rows
+    hashed = docs.select(key, F.col(tokens).alias("tokens"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("hashes"))
+    each = (
+        hashed.where(F.size("tokens") >= low)
+        .select(key, "tokens", "hashes", F.explode(F.sequence(F.lit(0), F.size("tokens") - low)).alias("start"))
+        # What a window needs of its row; the whole arrays would be copied for each.
+        .select(key, "start", F.slice("tokens", F.col("start") + 1, longest).alias("tokens"), F.slice("hashes", F.col("start") + 1, longest).alias("hashes"))
+        .select(key, "start", "tokens", "hashes", F.explode(F.sequence(F.lit(low), F.size("tokens"))).alias("len"))
+        .withColumn("_key", F.xxhash64(F.slice("hashes", F.lit(1), F.col("len"))))
     )
+    words = bloom.words_for(n)
+    if words:
+        each = bloom.passing(each, "_key", bloom.build(keyed(dictionary), "_key", words), words)
+    return each.select(key, "start", "len", "_key", F.array_join(F.slice("tokens", F.lit(1), F.col("len")), " ").alias("ngram"))
 
 
 def group_positions(found: DataFrame, key: str = "doc_id", max_seq_length: int | None = None) -> DataFrame:

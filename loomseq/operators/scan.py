@@ -48,16 +48,20 @@ def with_bases(table: DataFrame, base: DataFrame, by: list[str], sums: list[str]
     return out.withColumns({f"_base_{n}": F.coalesce(f"_base_{n}", F.lit(0)) for n in sums})
 
 
+def scanned(table: DataFrame, order: list[str], sums: dict[str, str], by: list[str] | None = None, inclusive: bool = False) -> DataFrame:
+    """What prefix_sums() gives, of a table that dealt() made for (by, order), and with its shards; columns may have
+    been added since, so that one deal serves several scans of which one needs another's sums."""
+    by = by or []
+    within = Window.partitionBy(SHARD, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = {n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
+    out = with_bases(table.withColumns(local), bases(table, by, sums), by, list(sums))
+    return out.withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in sums}).drop(*[f"_base_{n}" for n in sums])
+
+
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], by: list[str] | None = None, inclusive: bool = False, shards: int | None = None) -> DataFrame:
     """df with, for each (new: column) of sums, the column's sum over the rows of the same group that stand
     before the row in the given order, and over the row itself if inclusive. Nulls add nothing.
 
     Rows with equal (by, order) get sums in any order among them; give a full order where this matters.
     Column names with a leading underscore are taken."""
-    by = by or []
-    table = dealt(df, [*by, *order], shards=shards)
-    last = 0 if inclusive else -1
-    within = Window.partitionBy(SHARD, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    local = {n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
-    out = with_bases(table.withColumns(local), bases(table, by, sums), by, list(sums))
-    return out.withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in sums}).drop(SHARD, *[f"_base_{n}" for n in sums])
+    return scanned(dealt(df, [*(by or []), *order], shards=shards), order, sums, by, inclusive).drop(SHARD)
