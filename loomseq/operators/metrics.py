@@ -4,7 +4,7 @@ One aggregation over the rows gives the confusion counts; everything else works
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.vectors import argmax
@@ -62,3 +62,33 @@ def history(evaluations: DataFrame, key: str = "epoch_key", order: str = "step")
 def label_stats(df: DataFrame, label: str) -> DataFrame:
     """Row count and number of distinct labels."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(label).alias("num_labels"))
+
+
+class Watched:
+    """Metrics of a frame in the same pass that writes it: no second scan, no confusion table (evaluation hook).
+
+    `classes` is the number of classes, which the model fixes; labels and predictions are 0 to classes - 1. Use
+    the frame that rows() gives in place of the old one; once an action has run over it, result() has the metrics."""
+
+    def __init__(self, classes: int, name: str | None = None):
+        self.classes, self.seen = classes, Observation(name) if name else Observation()
+
+    def rows(self, df: DataFrame, label: str, pred: str) -> DataFrame:
+        counted = F.col(label) != IGNORE
+        at = lambda c, k: F.coalesce(F.sum((counted & (F.col(c) == k)).cast("bigint")), F.lit(0))
+        both = lambda k: F.coalesce(F.sum((counted & (F.col(label) == k) & (F.col(pred) == k)).cast("bigint")), F.lit(0))
+        facts = [x for k in range(self.classes) for x in (at(label, k).alias(f"t{k}"), at(pred, k).alias(f"p{k}"), both(k).alias(f"tp{k}"))]
+        return df.observe(self.seen, *facts)
+
+    def result(self) -> dict[str, float]:
+        """accuracy, f1, matthews_correlation, precision and recall, as scores() gives them."""
+        x = self.seen.get
+        t, p, tp = ([x[f"{n}{k}"] for k in range(self.classes)] for n in ("t", "p", "tp"))
+        met = [k for k in range(self.classes) if t[k] or p[k]]
+        s, c, share = sum(t), sum(tp), lambda a, b: a / b if b else 0.0
+        mean = lambda f: share(sum(map(f, met)), len(met))
+        spread = ((s * s - sum(v * v for v in p)) * (s * s - sum(v * v for v in t))) ** 0.5
+        return {
+            "accuracy": share(c, s), "f1": mean(lambda k: share(2 * tp[k], t[k] + p[k])), "matthews_correlation": share(c * s - sum(a * b for a, b in zip(t, p)), spread),
+            "precision": mean(lambda k: share(tp[k], p[k])), "recall": mean(lambda k: share(tp[k], t[k])),
+        }

@@ -3,7 +3,7 @@ packed tensors, so unpadding is a filter and padding a left join from the grid."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.operators.scan import prefix_sums
@@ -32,6 +32,46 @@ def pad(rows: DataFrame, keys: DataFrame, key: str, pos: str, value: str, seq_le
     return grid.join(rows.select(key, pos, value), [key, pos], "left").withColumn(value, F.coalesce(value, fill))
 
 
+def pad_dense(rows: DataFrame, keys: DataFrame, key: list[str], pos: str, value: str, seq_length: int, fill) -> DataFrame:
+    """(key..., value): one array of seq_length values for each row of keys, fill where rows has none (JOIN8).
+
+    A key's rows are gathered to a sparse map once, and a dense array is made where it is needed; there is no
+    grid to join. Keys that are repeated in keys stay apart, and each gets the key's values; of rows that share a
+    position the least value counts. Positions from seq_length on are left out."""
+    inside = rows.where((F.col(pos) >= 0) & (F.col(pos) < seq_length))
+    one = inside.groupBy(*key, pos).agg(F.min(value).alias("_v"))
+    sparse = one.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(pos, "_v"))).alias("_m"))
+    kind = dict(rows.dtypes)[pos]
+    places = F.transform(F.sequence(F.lit(0), F.lit(seq_length - 1)), lambda p: F.coalesce(F.try_element_at("_m", p.cast(kind)), fill))
+    return keys.select(*key).join(sparse, key, "left").select(*key, places.alias(value))
+
+
+def ranks(mask: Column) -> Column:
+    """For each place of a 0/1 array the number of ones before it: where a row of the whole stands in the subset."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, m: F.struct((a["n"] + (m == 1).cast("int")).alias("n"), F.array_append(a["out"], a["n"]).alias("out"))
+    return F.aggregate(mask, start, step)["out"]
+
+
+def selects(mask: Column) -> Column:
+    """The places of the ones, in order: where a row of the subset stands in the whole."""
+    places = F.transform(mask, lambda m, i: F.when(m == 1, i))
+    return F.filter(places, lambda p: p.isNotNull())
+
+
+def subset_of_subset(outer: Column, inner: Column) -> Column:
+    """Both masks are over the whole array, and the inner one's rows are wanted by their places among the outer one's
+    (FLT11): a model that keeps only the outer rows finds its inner ones there. Inner rows that the outer mask
+    leaves out have no place."""
+    wanted = F.zip_with(outer, inner, lambda a, b: (a == 1) & (b == 1))
+    return F.filter(F.zip_with(ranks(outer), wanted, lambda r, w: F.when(w, r)), lambda r: r.isNotNull())
+
+
+def head_rows(rows: DataFrame, order: list[str], n: int = 16) -> DataFrame:
+    """The first n rows, for a look at the data (ARR13)."""
+    return rows.orderBy(*order).limit(n)
+
+
 def loss_positions(rows: DataFrame, label: str = "label") -> DataFrame:
     """Positions with a label over 0: id 0 and the ignore value both drop out."""
     return rows.where(F.col(label) > 0)

@@ -85,6 +85,12 @@ ex AS (SELECT seq_id, qpos, kpos, exp(s - max(s) OVER (PARTITION BY seq_id, qpos
 wt AS (SELECT seq_id, qpos, kpos, e / sum(e) OVER (PARTITION BY seq_id, qpos) AS w FROM ex)"""
 _J = "array_to_string"
 _KMERS = "CASE WHEN length(text) >= 6 THEN list_transform(range(1, length(text) - 4), lambda i: substr(text, i, 6)) ELSE [] END"
+
+
+def _kmers4(c: str) -> str:
+    return f"CASE WHEN length({c}) >= 4 THEN array_to_string(list_transform(range(1, length({c}) - 2), lambda i: substr({c}, i, 4)), ' ') ELSE '' END"
+
+
 _SLOPES = """hs AS (SELECT h AS heads, i AS head, CASE WHEN i < w THEN power(2.0, -8.0 * (i + 1) / w) ELSE power(2.0, -8.0 * (2 * (i - w) + 1) / (2 * w)) END AS slope
   FROM (SELECT h, w, unnest(range(0, h)) AS i FROM (VALUES (8, 8), (12, 8), (16, 16)) t(h, w)))"""
 
@@ -141,4 +147,33 @@ SELECT round(avg(ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x)))))
     "loss_mse": "SELECT round(avg((CAST(label AS DOUBLE) - CAST(embedding[1] AS DOUBLE)) * (CAST(label AS DOUBLE) - CAST(embedding[1] AS DOUBLE))), 6) AS loss FROM embeddings",
     "loss_bce": """SELECT round(avg(ln(1 + exp(-abs(x))) + greatest(x, 0) - x * y), 6) AS loss
 FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(label % 2 AS DOUBLE) AS y FROM embeddings)""",
+    "ragged_cu_wide": "SELECT doc_id, lang, source, md5(text) AS digest, n_chars, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cu_start FROM documents",
+    "scan_by_source": """SELECT doc_id, source, CAST(sum(n_chars) OVER w AS BIGINT) AS chars, CAST(count(*) OVER w AS BIGINT) AS nth FROM documents
+WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "subset_positions": f"""WITH {_FOLD}, fl AS (SELECT doc_id, unnest({_LABELS}) > 0 AS hit, generate_subscripts(ids, 1) - 1 AS pos FROM whole),
+o AS (SELECT doc_id, hit, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM fl WHERE hit OR pos = 0)
+SELECT doc_id, coalesce(string_agg(CAST(place AS VARCHAR), ' ' ORDER BY pos) FILTER (hit), '') AS places, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS needed FROM o GROUP BY doc_id""",
+    "debug_head": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 16",
+    "dummy_token": f"""WITH {_TOKEN_HALF}, e AS (SELECT doc_id, list(id ORDER BY pos) AS ids, len(any_value(tokens)) + 2 AS n FROM rows_ JOIN cut USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, {_J}(list_concat(ids[1:n], [0]), ' ') AS input_ids, {_J}(list_concat(list_transform(range(0, n), lambda x: 1), [0]), ' ') AS attention_mask FROM e""",
+    "csv_labels": "SELECT md5(text) AS digest, CAST(length(text) AS INTEGER) AS n, quality AS label FROM documents JOIN labels USING (doc_id)",
+    "csv_pairs": f"""WITH k AS (SELECT item_id, text, reverse(text) AS back FROM benchmark)
+SELECT md5({_kmers4('text')}) AS a, md5({_kmers4('back')}) AS b, CAST(item_id AS INTEGER) AS label FROM k""",
+    "csv_errors": """SELECT CASE doc_id % 5 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'label is not an integer' ELSE 'none' END AS problem, count(*) AS n
+FROM (SELECT doc_id FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 2) GROUP BY ALL""",
+    "ngram_hits_large": f"""WITH {_TOKS}, {_CUT}, {_windows('wins', 'toks')}, dict AS (SELECT ngram FROM wins GROUP BY ngram HAVING count(*) > 1), {_windows('cwins', 'cut')}
+SELECT doc_id, ngram, start_pos, start_pos + len AS end_pos FROM cwins JOIN dict USING (ngram)""",
+    "metrics_history_split": f"""WITH lg AS (SELECT CASE vec_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split, vec_id % 12 // 6 AS epoch, vec_id // 12 % 4 AS step,
+  list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred, label FROM embeddings), {_conf('lg', 'split, epoch, step')},
+top AS (SELECT *, row_number() OVER (PARTITION BY split, epoch ORDER BY step DESC) AS nth FROM sc)
+SELECT split, epoch, step, {_METRICS} FROM top WHERE nth = 1""",
+    "cls_metrics_observed": f"WITH lg AS (SELECT list_position(embedding, list_max(embedding)) - 1 AS pred, label FROM embeddings), {_conf('lg')} SELECT {_METRICS} FROM sc",
+    "loss_ce_whole": """WITH l AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, label FROM embeddings)
+SELECT round(avg(ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) + list_max(x) - x[label + 1]), 6) AS loss FROM l""",
+    "flat_logits": "SELECT label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred, count(*) AS n FROM embeddings GROUP BY ALL",
+    "ngram_fusion_whole": f"""WITH {_MATCHED}, g AS (SELECT doc_id, ngram_id % (SELECT count(*) FROM embeddings) AS vec_id, unnest(positions) AS pos FROM matched),
+v AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s, list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)) AS w FROM embeddings)
+SELECT doc_id, pos, round(sum(s), 4) AS total, round(sum(w), 3) AS weighted FROM g JOIN v USING (vec_id) GROUP BY ALL""",
+    "embed_tokens": f"""WITH {_TOKEN_HALF}, v AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 0.5)) AS s FROM embeddings)
+SELECT doc_id, round(sum(s), 3) AS total FROM rows_ JOIN v ON vec_id = id % (SELECT count(*) FROM embeddings) GROUP BY doc_id""",
 }

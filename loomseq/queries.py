@@ -5,14 +5,19 @@ whole corpus in a way that both engines repeat: by count, then by string."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequence as sq
 from loomseq.functions import tokens as tk
 from loomseq.functions import vectors as vec
-from loomseq.operators import attention, encoder, masking, metrics, model, ngrams, ragged
+from loomseq.operators import attention, encoder, masking, metrics, model, ngrams, ragged, scan, subword
 from loomseq.plans import records as rec
+from loomseq.plans.scratch import fixed, folder_of
+from loomseq.sources import records as csv
+from loomseq.streaming import history
 
 SHAPE = rec.Shape()
 MIN_COUNT, SEED, RATE, CLASSES, SEQ = 5, 42, 0.15, 10, 10
@@ -239,9 +244,128 @@ def ragged_unpad(spark, sf):
 def ragged_pad(spark, sf):
     """JOIN8: packed token rows scattered to a dense grid"""
     rows = ragged.unpad(_token_rows(spark, sf))
-    dense = ragged.pad(rows, table(spark, sf, "documents"), "doc_id", "pos", "id", SHAPE.max_seq_length, F.lit(0))
-    one = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return dense.groupBy("doc_id").agg(one.alias("_r")).select("doc_id", joined("_r.id", "ids"))
+    dense = ragged.pad_dense(rows, table(spark, sf, "documents"), ["doc_id"], "pos", "id", SHAPE.max_seq_length, F.lit(0))
+    return dense.select("doc_id", joined("id", "ids"))
+
+
+def ragged_cu_wide(spark, sf):
+    """WIN1 on a table with further columns"""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.md5("text").alias("digest"), "n_chars")
+    return ragged.cu_seqlens(docs, "doc_id", "n_chars")
+
+
+def scan_by_source(spark, sf):
+    """WIN1 by group: characters and documents of a source up to each document"""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", F.lit(1).alias("one"))
+    return scan.prefix_sums(docs, ["doc_id"], {"chars": "n_chars", "nth": "one"}, by=["source"], inclusive=True).select("doc_id", "source", "chars", "nth")
+
+
+def subset_positions(spark, sf):
+    """FLT11: where the loss positions stand among the positions that the last layer needs"""
+    m = _masked(spark, sf, True).select("doc_id", F.transform("labels", lambda y: (y > 0).cast("int")).alias("inner"))
+    outer = F.transform("inner", lambda y, i: F.greatest(y, (i == 0).cast("int")))
+    m = m.withColumn("outer", outer).select("doc_id", joined(ragged.subset_of_subset(F.col("outer"), F.col("inner")), "places"), joined(ragged.selects(F.col("outer")), "needed"))
+    return m
+
+
+def debug_head(spark, sf):
+    """ARR13"""
+    return ragged.head_rows(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"])
+
+
+def dummy_token(spark, sf):
+    """ARR12: encoded documents with a trailing token that attention ignores"""
+    docs = docs_of(spark, sf)
+    ids, mask = tk.append_dummy(F.col("input_ids"), F.col("attention_mask"), rec.SPECIALS["[PAD]"])
+    return rec.token_half(docs, rec.corpus_tokens(docs), SHAPE, pad=False).select("doc_id", joined(ids, "input_ids"), joined(mask, "attention_mask"))
+
+
+# --- files -----------------------------------------------------------------------------------
+
+def _labelled(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+
+
+def csv_labels(spark, sf):
+    """SRC1, SRC2, CNV3: documents and labels written as CSV (with quotes and line feeds) and read by many tasks"""
+    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    rows = _labelled(spark, sf).select("text", F.col("quality").alias("label"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    good, _ = csv.read_labelled(spark, path)
+    return good.select(F.md5("sequence").alias("digest"), F.length("sequence").alias("n"), "label")
+
+
+def csv_pairs(spark, sf):
+    """SRC2, KMR1 on pairs: three columns, k-mers of both sequences"""
+    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = table(spark, sf, "benchmark").select(F.concat_ws(",", quoted(F.col("text")), quoted(F.reverse("text")), F.col("item_id")).alias("value"))
+    lines.unionByName(spark.range(1).select(F.lit("a,b,c").alias("value"))).coalesce(1).sortWithinPartitions(F.col("value") != "a,b,c").write.text(path)
+    good, _ = csv.read_labelled(spark, path, kmer=4)
+    return good.select(F.md5("seq_a").alias("a"), F.md5("seq_b").alias("b"), "label")
+
+
+def csv_errors(spark, sf):
+    """SRC1: rows that don't fit, by what is wrong with them"""
+    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    k = F.col("doc_id") % 5
+    one = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(k == 0, one).when(k == 1, F.concat(one, F.lit(",x"))).otherwise(F.concat(one, F.lit(","), F.col("toxic").cast("string")))
+    docs = _labelled(spark, sf).select("doc_id", line.alias("value"))
+    both = docs.unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("h,l\n,0").alias("value")))
+    both.coalesce(1).sortWithinPartitions(F.asc_nulls_first("doc_id")).select("value").write.text(path)
+    good, bad = csv.read_labelled(spark, path)
+    every = bad.select("problem").unionByName(good.select(F.lit("none").alias("problem")))
+    return every.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tok_subword(spark, sf, vocabulary="/opt/tokenizers/byte_bpe_50k.json"):
+    """CNV2: subword ids of whole texts (rows only; tests compare with the vocabulary's own tokenizer)"""
+    ids = subword.encode(spread(table(spark, sf, "documents").select("doc_id", "text")), subword.Merges.load(vocabulary))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(joined("ids")).alias("digest"))
+
+
+def ngram_hits_large(spark, sf):
+    """JOIN1 beyond the broadcast bound: every n-gram that occurs twice, behind a Bloom filter"""
+    docs = docs_of(spark, sf)
+    every = ngrams.windows(docs, "tokens", SHAPE.low, SHAPE.high).groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = fixed(every.select("ngram", F.lit(0).alias("ngram_id")))
+    cut = docs.select("doc_id", tk.truncate(F.col("tokens"), SHAPE.max_seq_length).alias("tokens"))
+    found = ngrams.hits(cut, "tokens", known, SHAPE.low, SHAPE.high)
+    return found.select("doc_id", "ngram", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"))
+
+
+# --- evaluations -----------------------------------------------------------------------------
+
+def metrics_history_split(spark, sf):
+    """MET2 by (split, epoch): of each the evaluation with the highest step"""
+    by = ["split", "epoch", "step"]
+    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, CLASSES).alias("logits"), "label", F.col("vec_id").alias("i"))
+    named = F.get(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (F.col("i") % 3).cast("int"))
+    e = e.withColumns({"split": named, "epoch": F.expr("i % 12 div 6"), "step": F.expr("i div 12 % 4")})
+    each = metrics.scores(metrics.confusion(metrics.predictions(e, "logits", "label", by), by), by)
+    return _rounded(history.latest(each), ("split", "epoch", "step"))
+
+
+def cls_metrics_observed(spark, sf):
+    """Evaluation hook: metrics of whole vectors as logits, seen while the predictions are written"""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", vec.argmax(F.col("embedding")).alias("pred"))
+    watch = metrics.Watched(64)
+    fixed(watch.rows(e, "label", "pred"))
+    return _rounded(spark.createDataFrame([watch.result()]))
+
+
+def loss_ce_whole(spark, sf):
+    """AGG13 over all components of a vector"""
+    x = table(spark, sf, "embeddings").select(vec.as_double(F.col("embedding")).alias("x"), "label")
+    return x.agg(F.round(attention.cross_entropy(F.col("x"), F.col("label")), 6).alias("loss"))
+
+
+def flat_logits(spark, sf):
+    """MTH2: matrices of logits and lists of labels, one for each ten vectors, flattened to predictions by label"""
+    rows = table(spark, sf, "embeddings").groupBy(F.expr("vec_id div 10").alias("k")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("z"))
+    flat = metrics.flatten_logits(rows.select(F.col("z.embedding").alias("l"), F.col("z.label").alias("y")), "l", "y")
+    return metrics.confusion(metrics.predictions(flat, "l", "y"))
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -263,9 +387,8 @@ def attn_weights(spark, sf):
 
 def attn_output(spark, sf):
     """AGG11"""
-    rows = vectors_of(spark, sf)
-    w = attention.weights(attention.scores(rows, "seq_id", "pos", "v", "v", 64, 0.5), "seq_id")
-    out = attention.weighted_values(w, rows, "seq_id", "pos", "v")
+    out = attention.attend(vectors_of(spark, sf), "seq_id", "pos", "v", "v", "v", 64, 0.5, block=4)
+    out = out.select("seq_id", "qpos", F.posexplode("value").alias("dim", "value"))
     return out.select("seq_id", "qpos", "dim", F.round("value", 5).alias("value"))
 
 
@@ -282,6 +405,26 @@ def ngram_fusion(spark, sf):
     return fused.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "dim", F.round("value", 6).alias("value"))
 
 
+def ngram_fusion_whole(spark, sf):
+    """JOIN5 on all 64 dimensions: two sums of each token's fused vector"""
+    m = fixed(matched_of(spark, sf))
+    e = table(spark, sf, "embeddings").select("vec_id", vec.as_double(F.col("embedding")).alias("v"))
+    grams = m.select("doc_id", "rk", (F.col("ngram_id") % e.count()).cast("bigint").alias("vec_id")).join(e, "vec_id").drop("vec_id")
+    inc = ngrams.matrix_rows(m)
+    tokens = inc.select("doc_id", "pos").distinct().withColumn("v", F.array_repeat(F.lit(0.0), 64))
+    fused = attention.fuse_vectors(tokens, inc, grams, 64)
+    weighted = vec.total(F.transform("v", lambda x, i: x * (i + 1)))
+    return fused.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round(vec.total(F.col("v")), 4).alias("total"), F.round(weighted, 3).alias("weighted"))
+
+
+def embed_tokens(spark, sf):
+    """JOIN4 under skew: every token of every document, padding included, looked up in the whole table"""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vec.as_double(F.col("embedding")).alias("vector"))
+    ids = fixed(_token_rows(spark, sf).select("doc_id", (F.col("id") % e.count()).cast("bigint").alias("id")))
+    out = attention.embed(ids, e, F.array_repeat(F.lit(0.5), 64))
+    return out.groupBy("doc_id").agg(F.round(F.sum(vec.total(F.col("vector"))), 3).alias("total"))
+
+
 def embed_lookup_add(spark, sf):
     """JOIN4: token vectors plus a type vector, summed to one number a token"""
     e = table(spark, sf, "embeddings")
@@ -362,6 +505,8 @@ _ALL = [
     label_stats, pred_argmax, cls_confusion, cls_metrics, cls_metrics_ignore, metrics_history, ragged_cu_seqlens,
     ragged_unpad, ragged_pad, alibi_bias, attn_weights, attn_output, ngram_fusion, embed_lookup_add, layer_norm,
     additive_mask, pool_first, loss_ce, loss_mse, loss_bce, gelu_values, encoder_forward,
-    zen_classify, zen_masked_lm,
+    zen_classify, zen_masked_lm, ragged_cu_wide, scan_by_source, subset_positions, debug_head, dummy_token, csv_labels,
+    csv_pairs, csv_errors, tok_subword, ngram_hits_large, metrics_history_split, cls_metrics_observed, loss_ce_whole,
+    flat_logits, ngram_fusion_whole, embed_tokens,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
