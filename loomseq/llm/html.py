@@ -3,13 +3,17 @@
 A page becomes a tree; elements that are never content go with all they hold. Each paragraph-like
 block earns points for its length and commas and hands them to its parent, half to the grandparent
 and a third above; a container's points are discounted by the share of its text that is inside
-links, and raised a little for article and main. The best container, or the article element around it,
-and those siblings that score well or read like prose are kept; of an article element, sibling articles.
+links, and raised a little for article and main. The best container, or the article element around it, is
+kept. Then every container around it is looked at, up to the page's body: branches beside the one that leads to
+the best and whose blocks earn at least STRONG of what is kept so far are kept as well, or which are the same kind of
+piece (element and class) with unlinked text, and the prose and headings between them; so an article in rows, columns or sections, each in wrappers of its own, comes out whole. Beside an
+article element only other article elements are, or what earns more than it does. Ties go to the container that
+ends first.
 
 Marks in class, id and role count by where they stand. Outside an article element one telling word
 removes a container; inside, and for paragraphs, headings and list items anywhere, all words of a mark
 must be telling or neutral ("comment-list", not "ad-hoc-methods" or "side-note"). Words that articles use
-themselves (DOUBTFUL) remove a container only where it holds no prose. Boxes that are nearly all links
+themselves (DOUBTFUL, and within an article WIDGETS) remove a container only where it holds no prose. Boxes that are nearly all links
 go, but not numbered lists and those under a heading in an article element: these are its references.
 
 Character references are decoded, white space inside a block becomes one blank, and blocks are
@@ -50,6 +54,8 @@ TELLING = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply "
     "share sharing pagination pager toolbar paywall contentinfo".split()
 )
+#: Such words that name controls, in which an article's own prose may stand all the same.
+WIDGETS = frozenset("share sharing toolbar pagination pager banner masthead menu breadcrumb breadcrumbs".split())
 #: Such words that articles use for parts of their own, too.
 DOUBTFUL = frozenset("header foot aside rail widget discussion respond social related recommended recommendations trending search complementary hidden side responses disclaimer copyright skip".split())
 #: Words that may stand beside telling ones in a mark.
@@ -66,16 +72,18 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"(?<![^\s\"'/])([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Unlinked characters that make a block prose, and the gain of elements that name the article.
-PROSE, GAIN = 80, {"article": 1.5, "main": 1.2}
+PROSE, GAIN = 80, {"article": 1.2, "main": 1.1}
+#: Points of a branch beside the best container, at least, and its share of what is kept so far.
+LEAST, STRONG = 10.0, 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "attrs", "points", "chars", "linked", "commas", "links", "prose", "stays")
+    __slots__ = ("name", "parent", "kids", "attrs", "points", "chars", "linked", "commas", "links", "prose", "stays", "mass")
 
     def __init__(self, name, parent, attrs=None):
         self.name, self.parent, self.attrs = name, parent, attrs or {}
         self.kids: list = []
-        self.points = 0.0
+        self.points = self.mass = 0.0
         self.chars = self.linked = self.commas = self.links = self.prose = 0
         self.stays = False
 
@@ -195,7 +203,9 @@ def mark(node: Node, in_article: bool) -> str | None:
             continue
         telling = words & TELLING
         if telling and (not strict or words <= TELLING | DOUBTFUL | NEUTRAL):
-            return "gone"
+            if not in_article or not telling <= WIDGETS or node.name in SCORED:
+                return "gone"
+            found = "doubtful"
         if node.name not in SCORED and not DOUBTFUL.isdisjoint(words) and (not strict or words <= DOUBTFUL | NEUTRAL):
             found = "doubtful"
     return found
@@ -251,9 +261,10 @@ def density(node: Node) -> float:
 def score(root: Node) -> list[Node]:
     """Containers with points, each block's handed upwards."""
     found: dict[int, Node] = {}
-    stack = [root]
+    stack, order = [root], []
     while stack:
         node = stack.pop()
+        order.append(node)
         stack += [k for k in node.kids if not isinstance(k, str)]
         if node.name in SCORED:
             size, commas, up = node.chars, node.commas, node.parent
@@ -265,10 +276,14 @@ def score(root: Node) -> list[Node]:
         if not size:
             continue
         points, share = (1.0 + commas + min(size / 100.0, 3.0)) * (1.0 - density(node)), 1
+        node.mass += points
         while up is not None and share <= 4:
             up.points += points / share
             found[id(up)] = up
             up, share = up.parent, share + 1
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.mass += node.mass
     for node in found.values():
         node.points *= GAIN.get(node.name, 1.0) * (1.0 - density(node))
     return list(found.values())
@@ -326,25 +341,51 @@ def main_blocks(root: Node) -> str:
     if not named:
         return "\n".join(blocks([root]))
     best = max(named, key=lambda n: n.points)
-    points, up = best.points, best
+    up = best
     while up is not None and up.name != "article":
         up = up.parent
     best = up or best  # a part of an article stands for all of it
-    keep = [best]
-    if best.parent is not None and best.name not in ("body", "html", "main"):
-        least = max(10.0, 0.2 * points)
-        keep = []
-        for k in best.parent.kids:
-            if isinstance(k, str):
-                continue
-            prose = k.name == "p" and (k.chars > PROSE and density(k) < 0.25 or k.chars and not k.linked)
-            heading = k.name in ("h1", "h2") and density(k) < 0.25
-            alike = k.name == "article" or best.name != "article"
-            if k is best or alike and k.points >= least or best.name != "article" and (prose or heading):
-                keep.append(k)
+    keep, mass, branch = [best], best.mass, best
+    while branch.parent is not None and branch.name not in ("body", "html"):
+        around = branch.parent
+        others = {id(k) for k in around.kids if not isinstance(k, str) and k is not branch and strong(k, best, mass)}
+        alike = {id(k) for k in around.kids if not isinstance(k, str) and k is not branch and best.name != "article" and shaped(k, branch)}
+        if others or alike or around is best.parent and best.name not in ("article", "main"):
+            others |= alike
+            new = []
+            for k in around.kids:
+                if k is branch:
+                    new += keep
+                elif not isinstance(k, str) and (id(k) in others or best.name != "article" and beside(k)):
+                    new.append(k)
+                    mass += k.mass
+            keep = new
+        branch = around
     return "\n".join(blocks(keep))
 
 
+def strong(k: Node, best: Node, mass: float) -> bool:
+    """A branch that is as much the article as what is kept."""
+    if best.name == "article" and k.name != "article":
+        return k.mass > mass and density(k) < 0.5
+    least = LEAST / 2 if best.name == "article" else LEAST  # the element says that it is one
+    return k.mass * (1.0 - density(k)) >= max(least, STRONG * mass)
+
+
+def shaped(k: Node, branch: Node) -> bool:
+    """A piece like the one that holds the best container, with text that isn't linked: the same element and class."""
+    named = k.attrs.get("class")
+    same = k.name == branch.name and named == branch.attrs.get("class")
+    return same and (named or k.name == "section" or k.prose > 0) and k.name in ("div", "section", "p", "blockquote") and k.mass > 0 and density(k) < 0.25
+
+
+def beside(k: Node) -> bool:
+    """Prose or a heading of the article, by itself."""
+    if k.name == "p":
+        return k.chars > PROSE and density(k) < 0.25 or k.chars > 0 and not k.linked
+    return k.name in ("h1", "h2") and density(k) < 0.25
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
 
