@@ -166,8 +166,10 @@ def cotrain(xt: tm.Rows, xm: tm.Rows, y: np.ndarray, pool: np.ndarray, rounds: i
 def fit(docs: DataFrame, labels: DataFrame, given: list | None = None) -> Model:
     learn = ~held_out(F.col("doc_id"), MODULUS, REMAINDER)
     known = tm.labels_of(labels, "quality", learn)
+    # An id that many rows share is one candidate, and rows without an id are none.
+    unlabelled = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn).distinct()
     picked = tm.sample_ids(known, "y", limit=LABELLED).unionByName(
-        tm.sample_ids(docs.select("doc_id").where(learn).join(known.select("doc_id"), "doc_id", "left_anti"), limit=POOL).withColumn("y", F.lit(-1))
+        tm.sample_ids(unlabelled.join(known.select("doc_id"), "doc_id", "left_anti"), limit=POOL).withColumn("y", F.lit(-1))
     )
 
     def both(b: pa.RecordBatch, texts: list[bytes]) -> list[list[int]]:
