@@ -7,8 +7,9 @@ floor(l * BUDGET / SEGMENTS) of them, for every l: 0, 1, 2, 3. Segment and next
 difference) make the bucket key; the rest of the chain is checked before the full distance.
 
 Nulls and empty texts have fingerprint zero and link like any other. Repeated rows and exact copies
-share a fingerprint and enter the search once. A row without doc_id is in the component of those that
-share its fingerprint, or in none; dedup() drops it. An empty table gives an empty result. Other columns
+share a fingerprint and enter the search once. Different texts that share a doc_id are linked each by its
+own fingerprint. A row without doc_id links others, and has a component if any row of it has an id; dedup()
+drops it. An empty table gives an empty result. Other columns
 of the table are ignored by fingerprints() and kept by dedup().
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomseq.llm.buckets import linked
 from loomseq.llm.common import components, map_batches, materialise, texts_of
+from loomseq.operators import skew
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: (first bit, width) around the ring.
@@ -117,15 +119,19 @@ def _verify(payload, ids, keys, i, j):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included."""
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included.
+
+    Fingerprints are the nodes, so rows are linked by their own texts alone, also where different texts share an
+    id, and rows without an id link others; a component without any id has none."""
     prints = materialise(fingerprints(docs))
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = linked(bucket_rows(distinct.where("id is not null")), _load, _verify)
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = linked(bucket_rows(distinct.select(F.col("fp").alias("id"), "fp")), _load, _verify)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = materialise(
-        distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    )
-    return prints.join(named, "fp", "left")
+    near = materialise(distinct.join(roots.withColumnRenamed("id", "fp"), "fp"))
+    least = near.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = skew.lookup(near.select("fp", "root"), least, ["root"]).select("fp", "component_id")
+    alone = distinct.join(near.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return skew.lookup(prints, materialise(named.unionByName(alone)), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
