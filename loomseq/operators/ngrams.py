@@ -2,6 +2,7 @@
 
 The dictionary is joined as a broadcast table. Its size is bounded by MAX_BROADCAST_ROWS: with a larger one, windows
 become 64-bit keys, a Bloom filter of the dictionary's keys drops what can't match, and only the rest is shuffled.
+A dictionary of unknown size is never sent whole, nor its filter.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def hits(docs: DataFrame, tokens: str, dictionary: DataFrame, low: int, high: in
     """Matches as (key, ngram, ngram_id, start, end), half-open and 0-based.
 
     dictionary_rows is a proven bound of the dictionary's size; only with one that is small enough
-    is the dictionary broadcast. Otherwise see filtered_windows()."""
+    is the dictionary broadcast. With a larger bound, see filtered_windows(); without one, all windows are shuffled."""
     small = dictionary_rows is not None and dictionary_rows <= MAX_BROADCAST_ROWS
     if small:
         found = windows(docs, tokens, low, high, key).join(F.broadcast(dictionary), "ngram")
@@ -63,7 +64,6 @@ def filtered_windows(docs: DataFrame, tokens: str, dictionary: DataFrame, low: i
     for those alone that the filter lets pass; the join compares it. Without a bound of the dictionary's rows they
     are counted. Beyond bloom.MAX_WORDS there is no filter, and all windows are shuffled."""
     longest = F.least(F.lit(high), F.size("tokens") - F.col("start"))
-    n = dictionary.count() if dictionary_rows is None else dictionary_rows
     hashed = docs.select(key, F.col(tokens).alias("tokens"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("hashes"))
     each = (
         hashed.where(F.size("tokens") >= low)
@@ -73,7 +73,7 @@ def filtered_windows(docs: DataFrame, tokens: str, dictionary: DataFrame, low: i
         .select(key, "start", "tokens", "hashes", F.explode(F.sequence(F.lit(low), F.size("tokens"))).alias("len"))
         .withColumn("_key", F.xxhash64(F.slice("hashes", F.lit(1), F.col("len"))))
     )
-    words = bloom.words_for(n)
+    words = None if dictionary_rows is None else bloom.words_for(dictionary_rows)
     if words:
         each = bloom.passing(each, "_key", bloom.build(keyed(dictionary), "_key", words), words)
     return each.select(key, "start", "len", "_key", F.array_join(F.slice("tokens", F.lit(1), F.col("len")), " ").alias("ngram"))

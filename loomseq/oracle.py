@@ -160,7 +160,7 @@ SELECT doc_id, {_J}(list_concat(ids[1:n], [0]), ' ') AS input_ids, {_J}(list_con
     "csv_pairs": f"""WITH k AS (SELECT item_id, text, reverse(text) AS back FROM benchmark)
 SELECT md5({_kmers4('text')}) AS a, md5({_kmers4('back')}) AS b, CAST(item_id AS INTEGER) AS label FROM k""",
     "csv_errors": """SELECT CASE doc_id % 5 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'label is not an integer' ELSE 'none' END AS problem, count(*) AS n
-FROM (SELECT doc_id FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 2) GROUP BY ALL""",
+FROM (SELECT doc_id FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 2 FROM range(16)) GROUP BY ALL""",
     "ngram_hits_large": f"""WITH {_TOKS}, {_CUT}, {_windows('wins', 'toks')}, dict AS (SELECT ngram FROM wins GROUP BY ngram HAVING count(*) > 1), {_windows('cwins', 'cut')}
 SELECT doc_id, ngram, start_pos, start_pos + len AS end_pos FROM cwins JOIN dict USING (ngram)""",
     "metrics_history_split": f"""WITH lg AS (SELECT CASE vec_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split, vec_id % 12 // 6 AS epoch, vec_id // 12 % 4 AS step,

@@ -20,14 +20,20 @@ def folder_of(spark: SparkSession) -> str:
     return (named or LOCAL_FOLDER).rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str = "fixed") -> str:
+    """A path that nothing has, in the shared folder; what is written there goes when the driver ends."""
+    path = f"{folder_of(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop)
+    _written.append((spark, path))
+    return path
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """df, written as Parquet and read back. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{folder_of(spark)}/fixed-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_drop)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

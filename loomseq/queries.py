@@ -5,8 +5,6 @@ whole corpus in a way that both engines repeat: by count, then by string."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from loomseq.functions import tokens as tk
 from loomseq.functions import vectors as vec
 from loomseq.operators import attention, encoder, masking, metrics, model, ngrams, ragged, scan, subword
 from loomseq.plans import records as rec
-from loomseq.plans.scratch import fixed, folder_of
+from loomseq.plans.scratch import fixed, new_folder
 from loomseq.sources import records as csv
 from loomseq.streaming import history
 
@@ -286,9 +284,17 @@ def _labelled(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
 
 
+def _write_csv(lines: DataFrame, header: str, path: str, files: int = 16) -> None:
+    """Raw records (value) dealt to files that begin with a header each."""
+    rows = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("nth"), "value")
+    heads = lines.sparkSession.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("nth"), F.lit(header).alias("value"))
+    dealt = rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "nth")
+    dealt.select("file", "value").write.partitionBy("file").text(path)
+
+
 def csv_labels(spark, sf):
     """SRC1, SRC2, CNV3: documents and labels written as CSV (with quotes and line feeds) and read by many tasks"""
-    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_folder(spark, "csv")
     rows = _labelled(spark, sf).select("text", F.col("quality").alias("label"))
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     good, _ = csv.read_labelled(spark, path)
@@ -297,23 +303,20 @@ def csv_labels(spark, sf):
 
 def csv_pairs(spark, sf):
     """SRC2, KMR1 on pairs: three columns, k-mers of both sequences"""
-    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_folder(spark, "csv")
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    lines = table(spark, sf, "benchmark").select(F.concat_ws(",", quoted(F.col("text")), quoted(F.reverse("text")), F.col("item_id")).alias("value"))
-    lines.unionByName(spark.range(1).select(F.lit("a,b,c").alias("value"))).coalesce(1).sortWithinPartitions(F.col("value") != "a,b,c").write.text(path)
+    _write_csv(table(spark, sf, "benchmark").select(F.concat_ws(",", quoted(F.col("text")), quoted(F.reverse("text")), F.col("item_id")).alias("value")), "a,b,c", path)
     good, _ = csv.read_labelled(spark, path, kmer=4)
     return good.select(F.md5("seq_a").alias("a"), F.md5("seq_b").alias("b"), "label")
 
 
 def csv_errors(spark, sf):
     """SRC1: rows that don't fit, by what is wrong with them"""
-    path = f"{folder_of(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_folder(spark, "csv")
     k = F.col("doc_id") % 5
     one = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.when(k == 0, one).when(k == 1, F.concat(one, F.lit(",x"))).otherwise(F.concat(one, F.lit(","), F.col("toxic").cast("string")))
-    docs = _labelled(spark, sf).select("doc_id", line.alias("value"))
-    both = docs.unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("h,l\n,0").alias("value")))
-    both.coalesce(1).sortWithinPartitions(F.asc_nulls_first("doc_id")).select("value").write.text(path)
+    _write_csv(_labelled(spark, sf).select(line.alias("value")), "h,l\n,0", path)  # a file's first row decides how many columns it has
     good, bad = csv.read_labelled(spark, path)
     every = bad.select("problem").unionByName(good.select(F.lit("none").alias("problem")))
     return every.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
@@ -331,7 +334,8 @@ def ngram_hits_large(spark, sf):
     every = ngrams.windows(docs, "tokens", SHAPE.low, SHAPE.high).groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = fixed(every.select("ngram", F.lit(0).alias("ngram_id")))
     cut = docs.select("doc_id", tk.truncate(F.col("tokens"), SHAPE.max_seq_length).alias("tokens"))
-    found = ngrams.hits(cut, "tokens", known, SHAPE.low, SHAPE.high)
+    # Past the bound up to which a dictionary is broadcast, its rows are counted and sent as a filter.
+    found = ngrams.hits(cut, "tokens", known, SHAPE.low, SHAPE.high, dictionary_rows=max(known.count(), ngrams.MAX_BROADCAST_ROWS + 1))
     return found.select("doc_id", "ngram", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"))
 
 
@@ -487,13 +491,13 @@ def _model(labels=2):
     return model.Model.fixed(rec.TOKEN_VOCAB, rec.NGRAM_VOCAB + 1, 8, 16, 2, 2, 1, labels, SEED)
 
 
-def zen_classify(spark, sf):
+def sequence_classify(spark, sf):
     """Section 2.13: embeddings, fusion, encoder, pooler and classifier over whole records (rows only)"""
     logits = model.classify(records_of(spark, sf), _model())
     return logits.select("doc_id", F.transform("logits", lambda x: F.round(x, 6)).alias("logits"), vec.argmax(F.col("logits")).alias("pred"))
 
 
-def zen_masked_lm(spark, sf):
+def masked_token_losses(spark, sf):
     """Section 2.13: losses and predictions of masked tokens, last layer on these alone (rows only)"""
     out = model.masked_tokens(_masked(spark, sf, True), _model())
     return out.select("doc_id", F.size("positions").alias("n_masked"), joined("predicted"), F.round(vec.total(F.col("losses")), 5).alias("loss"))
@@ -505,7 +509,7 @@ _ALL = [
     label_stats, pred_argmax, cls_confusion, cls_metrics, cls_metrics_ignore, metrics_history, ragged_cu_seqlens,
     ragged_unpad, ragged_pad, alibi_bias, attn_weights, attn_output, ngram_fusion, embed_lookup_add, layer_norm,
     additive_mask, pool_first, loss_ce, loss_mse, loss_bce, gelu_values, encoder_forward,
-    zen_classify, zen_masked_lm, ragged_cu_wide, scan_by_source, subset_positions, debug_head, dummy_token, csv_labels,
+    sequence_classify, masked_token_losses, ragged_cu_wide, scan_by_source, subset_positions, debug_head, dummy_token, csv_labels,
     csv_pairs, csv_errors, tok_subword, ngram_hits_large, metrics_history_split, cls_metrics_observed, loss_ce_whole,
     flat_logits, ngram_fusion_whole, embed_tokens,
 ]
