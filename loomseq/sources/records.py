@@ -38,7 +38,8 @@ def records(spark: SparkSession, path: str | list[str], max_record: int = MAX_RE
     table = scan.dealt(lines(spark, path).withColumn("odd", odd), ["file", "at", "nth"])
     order, by = ["at", "nth"], ["file"]
     opened = scan.scanned(table, order, {"quotes": "odd"}, by).withColumn("starts", (F.col("quotes") % 2 == 0).cast("int"))
-    named = scan.scanned(opened, order, {"record": "starts"}, by, inclusive=True)
+    # Written, as it is read for records of one line and, several times, for longer ones.
+    named = fixed(scan.scanned(opened, order, {"record": "starts"}, by, inclusive=True))
     none = F.lit(None).cast("string")
     alone = named.where("starts = 1 and odd = 0").select("file", "record", F.col("line").alias("raw"), none.alias("problem"))
     parts = named.where("starts = 0 or odd = 1").select("file", "record", *order, "starts", "line")
