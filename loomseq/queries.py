@@ -281,7 +281,8 @@ def dummy_token(spark, sf):
 # --- files -----------------------------------------------------------------------------------
 
 def _labelled(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    """Labels grow with the documents, so they're merged at every size and never broadcast."""
+    return table(spark, sf, "documents").join(table(spark, sf, "labels").hint("merge"), "doc_id")
 
 
 def _write_csv(lines: DataFrame, header: str, path: str, files: int = 16) -> None:
