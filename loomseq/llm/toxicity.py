@@ -6,8 +6,8 @@ less, than both alone. Pairs are summed by (|sum v|^2 - sum |v|^2) / 2.
 
 The fit learns from labelled rows that aren't held out, at most SAMPLE of them, over the up to
 FEATURES buckets most associated with the label, and those of pairs that tell something together, be
-their parts neutral or not (terms.interacting). How much a pair must tell is picked among BARS on a
-fifth of the rows to learn from; held-out rows decide nothing. Nulls and empty texts get the score without any term, long
+their parts neutral or not (terms.interacting). How much a pair must tell is picked among BARS, which follow from
+the number of pairs alone, on a fifth of the rows to learn from; held-out rows decide nothing. Nulls and empty texts get the score without any term, long
 texts are read whole. Without labelled rows of both kinds the score is the smoothed share of toxic ones.
 Rows that repeat a doc_id count once in the fit, by the least digest of their texts, and are scored each. Labels, lang, source and doc_id are no inputs of
 a score. Extra columns are ignored by scores() and kept by keep_clean().
@@ -16,6 +16,7 @@ a score. Extra columns are ignored by scores() and kept by keep_clean().
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,19 @@ from loomseq.llm.common import held_out, map_batches, texts_of
 MODULUS, REMAINDER = 5, 0
 FEATURES, FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 1024, 8, 30, 1000, 256, 0.02, 1e-5, 3
 ROWS_A_TERM = 16
-BARS, FOLDS = (40.0, 100.0, 400.0, float("inf")), 5
+AMONG, FOLDS = 2048, 5
+#: How many of all pairs among AMONG terms may pass a bar by chance; without pairs (the last bar) none does.
+CHANCE = (1.0, 1e-2, 1e-4)
+
+
+def bars(chance: tuple[float, ...] = CHANCE, among: int = AMONG) -> tuple[float, ...]:
+    """Quantiles of chi-squared with one degree of freedom that this many pairs exceed by chance: the square
+    of a normal quantile. No row decides them."""
+    pairs = among * (among - 1) / 2
+    return (*(NormalDist().inv_cdf(c / pairs / 2) ** 2 for c in chance), float("inf"))
+
+
+BARS = bars()
 
 
 @dataclass
@@ -77,7 +90,7 @@ def selections(terms: list[np.ndarray], y: np.ndarray, features: int) -> list[np
     """For each of BARS the buckets to learn: single terms and those of pairs. A term needs ROWS_A_TERM
     rows to be learned from, so that few rows don't fit chance."""
     single = tm.associated(terms, y, min(features, max(32, len(y) // ROWS_A_TERM)))
-    return [np.union1d(single, pairs) for pairs in tm.interacting(terms, y, BARS)]
+    return [np.union1d(single, pairs) for pairs in tm.interacting(terms, y, BARS, AMONG)]
 
 
 def descend(terms: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, factors: int, epochs: int) -> Machine:
