@@ -125,16 +125,15 @@ def tables_of(dim: int) -> Tables:
 def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, unit vectors in double precision and the positions of their rows; unusable rows
     are left out."""
-    rows, of_length, out = column.to_pylist(), {}, []
-    for k, v in enumerate(rows):
-        if v and None not in v:
-            of_length.setdefault(len(v), []).append(k)
-    for dim, good in sorted(of_length.items()):
-        x = np.array([rows[k] for k in good], dtype=np.float64).reshape(len(good), dim)
-        with np.errstate(over="ignore", invalid="ignore"):
-            top = np.abs(x).max(1, initial=0.0)
-            fine = np.isfinite(top) & (top > 0)
-        x, at = x[fine] / top[fine, None], np.array(good, dtype=np.int64)[fine]
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)  # flatten() skips null lists
+    flat = pc.fill_null(column.flatten().cast(pa.float64(), safe=False), np.nan).to_numpy(zero_copy_only=False)
+    start, out = np.cumsum(size) - size, []
+    for dim in np.unique(size[size > 0]).tolist():
+        good = np.nonzero(size == dim)[0]
+        x = flat[start[good][:, None] + np.arange(dim)]
+        top = np.abs(x).max(1)  # a null or NaN component makes it NaN
+        fine = np.isfinite(top) & (top > 0)
+        x, at = x[fine] / top[fine, None], good[fine]
         if len(at):
             out.append((x / np.sqrt((x * x).sum(1))[:, None], at))
     return out
