@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import map_batches, materialise, texts_of, unused
+from loomseq.operators import scan, skew
 
 #: The weights by source in code point order, the share of all sizes, the largest repeat.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -37,8 +38,14 @@ _EPS = 1e-9
 NEAR = 100_000
 
 
-def _facts(table: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(table) if n <= NEAR else table
+def _known(rows: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """rows with what `facts` says of their source (src), of which there are n. The facts of more than NEAR
+    sources are shuffled, but for those that hold many rows."""
+    if n <= NEAR:
+        return rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["src"])).drop("src")
+    name = lambda c: [F.isnull(c).alias("_none"), F.coalesce(c, F.lit("")).alias("_src")]
+    named = facts.select("*", *name("src")).drop("src")
+    return skew.lookup(rows.select("*", *name("source")), named, ["_none", "_src"], "inner").drop("_none", "_src")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def targets(totals: list[tuple[str | None, int]]) -> dict[str | None, float]:
     """Target by source: weighted shares of SHARE times the sum, none above MOST times its size;
-    what exceeds that goes to the others by weight until none is above."""
+    what exceeds that goes to the others by weight until none is above. The plain rule, for sources in a list."""
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     weight = {s: WEIGHTS[k % len(WEIGHTS)] for k, (s, _) in enumerate(order)}
     size = dict(order)
@@ -112,13 +119,34 @@ def land(size: list[int], p: list[float], goal: float) -> None:
         p[k] = float(x)
 
 
-def _level(rows: DataFrame, shards: dict, level: int) -> DataFrame:
-    """One flight over blocks; a source of one block lands."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(s, n) for s, n in shards.items()], "src string, shards bigint")
+def source_targets(totals: DataFrame) -> DataFrame:
+    """totals (src, source_size) with `target`, as targets() has it. Sources stay distributed: a scan numbers
+    them, and a round of resharing is one sum over all.
+
+    The share of a unit of weight only grows from round to round, so it says by itself which sources it caps."""
+    ranked = scan.prefix_sums(
+        totals.withColumns({"none": F.isnull("src"), "one": F.lit(1)}), ["none", "src"], {"nth": "one"}
+    ).withColumn("weight", F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("nth") % len(WEIGHTS)).cast("int")))
+    ranked = materialise(ranked.drop("none", "one", "nth"))
+    unit, before = 0.0, -1
+    while True:
+        above = F.lit(unit) * F.col("weight") > F.lit(MOST) * F.col("source_size")
+        row = ranked.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("source_size"))).alias("taken"),
+            F.sum(F.when(~above, F.col("weight"))).alias("weight"), F.count(F.when(above, 1)).alias("n"),
+        ).head()
+        if row.n == before or not row.weight:
+            break
+        before = row.n
+        unit = max(unit, (SHARE * row["all"] - MOST * (row.taken or 0)) / row.weight)
+    return ranked.withColumn("target", F.least(F.lit(unit) * F.col("weight"), F.lit(MOST) * F.col("source_size"))).drop("weight")
+
+
+def _level(rows: DataFrame, level: int, n: int) -> DataFrame:
+    """One flight over blocks of n sources at most; a source of one block lands."""
     # What a block's probabilities promise, where it is the whole source.
-    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("goal")).withColumnRenamed("source", "src")
-    salted = rows.join(_facts(table, len(shards)), rows["source"].eqNullSafe(table["src"])).drop("src").withColumn("block", F.expr(f"pmod(xxhash64(deal, {level}), shards)"))
+    facts = rows.groupBy(F.col("source").alias("src")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shards"), F.sum(F.col("size") * F.col("p")).alias("goal"))
+    salted = _known(rows, facts, n).withColumn("block", F.expr(f"pmod(xxhash64(deal, {level}), shards)"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["deal", "p", "row"]).reset_index(drop=True)
@@ -130,8 +158,7 @@ def _level(rows: DataFrame, shards: dict, level: int) -> DataFrame:
             land(size, p, pdf["goal"][0])
         return pdf.assign(p=p)[["row", "source", "size", "deal", "p"]]
 
-    goal = salted.join(_facts(sums, len(shards)), salted["source"].eqNullSafe(sums["src"])).drop("src")
-    return goal.groupBy("source", "block").applyInPandas(run, "row bigint, source string, size bigint, deal bigint, p double")
+    return salted.groupBy("source", "block").applyInPandas(run, "row bigint, source string, size bigint, deal bigint, p double")
 
 
 def plan(docs: DataFrame) -> DataFrame:
@@ -142,26 +169,19 @@ def plan(docs: DataFrame) -> DataFrame:
 def _planned(rows: DataFrame) -> DataFrame:
     """plan() with the row's number, from written rows (row, doc_id, source, size, key)."""
     spark = rows.sparkSession
-    totals = {r.source: (r.n, r.size) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
-    want = targets([(s, size) for s, (_, size) in totals.items()])
-    rate = {s: want[s] / size if size else 0.0 for s, (_, size) in totals.items()}
-    # The driver holds a row for each source; up to NEAR of them are broadcast, and no source meets in one task.
-    facts = spark.createDataFrame(
-        [(s, int(size), float(want[s]), int(rate[s]), rate[s] - int(rate[s])) for s, (_, size) in totals.items()],
-        "src string, source_size bigint, target double, base int, p double",
-    )
-    known = rows.join(_facts(facts, len(totals)), rows["source"].eqNullSafe(facts["src"])).drop("src")
+    want = source_targets(rows.groupBy(F.col("source").alias("src")).agg(F.sum("size").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    facts = materialise(want.withColumn("base", F.floor(rate).cast("int")).withColumn("p", rate - F.col("base")))
+    sources = facts.count()
+    known = _known(rows, facts, sources)
     live = known.where("p > 0 and p < 1").select("row", "source", "size", "p", "key")
     often = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPREAD).select("key", F.lit(True).alias("often"))
     live = live.join(often, "key", "left").select("row", "source", "size", F.when(F.col("often"), F.xxhash64("row")).otherwise(F.col("key")).alias("deal"), "p")
-    counts = {s: n for s, (n, _) in totals.items() if 0.0 < rate[s] - int(rate[s]) < 1.0}
     done, level = [], 0
-    while counts:
-        shards = {s: -(-n // BLOCK) for s, n in counts.items()}
-        flown = materialise(_level(live, shards, level))
+    while not live.isEmpty():
+        flown = materialise(_level(live, level, sources))
         done.append(flown.where("p = 0 or p = 1").select("row", F.col("p").cast("int").alias("more")))
         live = flown.where("p > 0 and p < 1")
-        counts = {r.source: r.n for r in live.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
         level += 1
     settled = spark.createDataFrame([], "row bigint, more int")
     for d in done:

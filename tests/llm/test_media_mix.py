@@ -304,6 +304,24 @@ def test_plan(spark):
     assert seen == {k: n for k, n in times.items() if n} and mixed.columns == df.columns
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 400])
+def test_source_targets_as_the_plain_rule(spark, n):
+    """The distributed rounds of resharing give what the list's rule gives, null, empty and equal sources included."""
+    r = random.Random(n)
+    names = [None, "é", "z", "\U0001f600", "\uffee"] + [f"s{k}" for k in range(n)]
+    totals = [(s, int(r.paretovariate(0.4)) if r.random() < 0.9 else 0) for s in names[-n:] + names[: min(n, 5)]]
+    totals = list(dict(totals).items())
+    got = mixing.source_targets(spark.createDataFrame(totals, "src string, source_size bigint")).collect()
+    assert {x.src: x.target for x in got} == mixing.targets(totals) and len(got) == len(totals)
+
+
+def test_plan_with_more_sources_than_are_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(1500), "doc_id bigint, text string, source string, size int")
+    want = sorted(map(str, mixing.plan(df).collect()))
+    monkeypatch.setattr(mixing, "NEAR", 1)
+    assert sorted(map(str, mixing.plan(df).collect())) == want
+
+
 @pytest.mark.parametrize("counts", [{"a": 4000, "b": 900, "c": 900}, {"large": 3000, "two": 1100} | {f"s{k}": 300 for k in range(6)}])
 def test_small_sources_beside_a_large_one(spark, counts):
     """A source of one block (b) lands with LANDING documents, however many blocks another has; one of
@@ -383,7 +401,7 @@ def test_registry():
     from loomseq.llm import registry
 
     names = list(registry.queries())
-    assert sorted(n for n in names if n.startswith("op")) == sorted(n for n in __spark_entry__.queries() if n.startswith("op")) and len(names) == 11
+    assert sorted(n for n in names if n.startswith("op")) == sorted(n for n in __spark_entry__.queries() if n.startswith("op")) and len(names) == 14  # thirteen operators and the pipeline
     assert "pipeline" in __spark_entry__.queries()
 
 
