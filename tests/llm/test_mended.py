@@ -1,11 +1,15 @@
-"""Repeated and missing ids in SimHash classes, hot ids in the quality fit, pages in wrappers."""
+"""Repeated and missing ids in SimHash classes, hot ids in the quality fit, pages in wrappers, vectors in
+Arrow columns, toxicity bars."""
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomseq.llm import html, quality, simhash
+from loomseq.llm import html, lattice, quality, simhash, toxicity
 
 
 def slow_classes(rows):
@@ -91,3 +95,26 @@ def test_pages_in_wrappers(name):
     found = [int(line.split("number ")[1].split(",")[0]) for line in text.split("\n")]
     assert found == want if want else {2, 3} <= set(found)
     assert "Home" not in text and "teaser" not in text and "Send" not in text
+
+
+def test_matrices_as_plain_loops():
+    """Null vectors and components, zeros, NaN, several lengths, and a slice of a longer column."""
+    rows = [[9.0], [3.0, 4.0], None, [], [1.0, None], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [2.0], [5e-324, 0.0], [1e300, 1e300], [0.0, -7.0]]
+    for kind in (pa.float64(), pa.float32()):
+        column = pa.array(rows, pa.list_(kind)).slice(1)
+        kept = column.to_pylist()
+        want = {}
+        for k, v in enumerate(kept):
+            if v and None not in v and np.isfinite(v).all() and any(v):
+                x = np.array(v) / np.abs(v).max()
+                want.setdefault(len(v), []).append((k, (x / np.sqrt((x * x).sum())).tolist()))
+        got = {u.shape[1]: list(zip(at.tolist(), u.tolist())) for u, at in lattice._matrices(column)}
+        assert got == want
+
+
+def test_toxicity_bars_follow_from_the_number_of_pairs():
+    """So many pairs exceed a bar by chance as it says: the tail of chi-squared with one degree of freedom."""
+    pairs = toxicity.AMONG * (toxicity.AMONG - 1) / 2
+    for chance, bar in zip(toxicity.CHANCE, toxicity.bars()):
+        assert abs(math.erfc(math.sqrt(bar / 2)) * pairs / chance - 1) < 1e-6
+    assert toxicity.BARS[-1] == float("inf") and list(toxicity.BARS) == sorted(toxicity.BARS)
