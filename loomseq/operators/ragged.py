@@ -35,15 +35,19 @@ def pad(rows: DataFrame, keys: DataFrame, key: str, pos: str, value: str, seq_le
 def pad_dense(rows: DataFrame, keys: DataFrame, key: list[str], pos: str, value: str, seq_length: int, fill) -> DataFrame:
     """(key..., value): one array of seq_length values for each row of keys, fill where rows has none (JOIN8).
 
-    A key's rows are gathered to a sparse map once, and a dense array is made where it is needed; there is no
-    grid to join. Keys that are repeated in keys stay apart, and each gets the key's values; of rows that share a
-    position the least value counts. Positions from seq_length on are left out."""
-    inside = rows.where((F.col(pos) >= 0) & (F.col(pos) < seq_length))
-    one = inside.groupBy(*key, pos).agg(F.min(value).alias("_v"))
-    sparse = one.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(pos, "_v"))).alias("_m"))
-    kind = dict(rows.dtypes)[pos]
-    places = F.transform(F.sequence(F.lit(0), F.lit(seq_length - 1)), lambda p: F.coalesce(F.try_element_at("_m", p.cast(kind)), fill))
-    return keys.select(*key).join(sparse, key, "left").select(*key, places.alias(value))
+    A key's rows are gathered by one shuffle and sorted, and the gaps between them are filled; there is no grid to join,
+    and no look-up for each place. Keys that are repeated in keys stay apart, and each gets the key's values; of rows that
+    share a position the least value counts. Positions from seq_length on are left out."""
+    inside = rows.where((F.col(pos) >= 0) & (F.col(pos) < seq_length) & F.col(value).isNotNull())
+    entry = F.struct(F.col(pos).cast("int").alias("p"), F.col(value).alias("v"))
+    sparse = inside.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    before = lambda e, i: F.coalesce(F.get(e, i - 1)["p"], F.lit(-1))
+    met = keys.select(*key).join(sparse, key, "left")
+    met = met.withColumn("_e", F.explode(F.array(F.filter("_e", lambda x, i: x["p"] != before(F.col("_e"), i)))))  # made once
+    gaps = F.transform("_e", lambda x, i: F.concat(F.array_repeat(fill, x["p"] - before(F.col("_e"), i) - 1), F.array(x["v"])))
+    last = F.coalesce(F.get("_e", F.size("_e") - 1)["p"], F.lit(-1))
+    dense = F.concat(F.coalesce(F.flatten(gaps), F.array().cast(f"array<{dict(rows.dtypes)[value]}>")), F.array_repeat(fill, seq_length - 1 - last))
+    return met.select(*key, dense.alias(value))
 
 
 def ranks(mask: Column) -> Column:
