@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.operators.ngrams import parts
+
 #: The public pattern of byte-level vocabularies, with Unicode white space.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 200_000
@@ -94,7 +96,7 @@ def encode(docs: DataFrame, merges: Merges, text: str = "text", key: str = "doc_
 
     def run(batches: Iterable[pa.RecordBatch]):
         model, known = sent.value, {}
-        for b in batches:
+        for b in parts(batches):
             lists = b.column("words")
             coded = pc.dictionary_encode(lists.flatten())
             if len(known) > REMEMBERED:
