@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor ke
 
 from __future__ import annotations
 
-from loomseq.llm import mixing, nearcopies, packing, substring, toxicity
+from loomseq.llm import mixing, nearcopies, packing, simhash, substring, toxicity
 from loomseq.llm.common import drop_scratch, settled
 
 
@@ -15,8 +15,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each component of near copies (five words, similarity 0.8) stays."""
-    return nearcopies.dedup(docs)
+    """One document of each component of fingerprints that link stays (SimHash); among these, so does one of each component
+    of texts whose similarity over five words is 0.8 or more, compared exactly, which fingerprints can't find."""
+    return nearcopies.dedup(simhash.dedup_rows(docs))
 
 
 def drop_passages(spark, docs, sf_dir):

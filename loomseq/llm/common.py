@@ -117,6 +117,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """docs with a hash of the whole row."""
+    return docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.isnull(F.col(f"`{c}`")), F.col(f"`{c}`"))]))
+
+
 def unused(taken: list[str], *wanted: str) -> list[str]:
     """Names like those wanted that no taken column has, whatever its case."""
     seen, out = {c.lower() for c in taken}, []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.llm.buckets import linked
-from loomseq.llm.common import components, map_batches, materialise, texts_of
+from loomseq.llm.common import components, map_batches, materialise, named_rows, texts_of
 from loomseq.llm.simhash import hashes
 
 WIDTH, BANDS, ROWS, SEED = 5, 24, 4, 5
@@ -49,11 +49,6 @@ def bands(s: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(low.reshape(BANDS, ROWS))]
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs with a hash of the whole row."""
-    return docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.isnull(F.col(f"`{c}`")), F.col(f"`{c}`"))]))
-
-
 def nodes_of(docs: DataFrame) -> DataFrame:
     """(id, head, bands): each distinct set, by a digest, with its first row."""
 
@@ -120,7 +115,7 @@ def _verify(payload, ids, keys, i, j):
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """(id, component, head) for each distinct set of the rows of _named()."""
+    """(id, component, head) for each distinct set of the rows of named_rows()."""
     nodes = materialise(nodes_of(docs))
     rows = materialise(candidates(nodes))
     wanted = nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.col("head.row").alias("_row"))
@@ -138,6 +133,6 @@ def heads(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies."""
-    named = _named(docs)
+    named = named_rows(docs)
     keep = heads(named).groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.row").alias("_row"))
     return named.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

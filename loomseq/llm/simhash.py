@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomseq.llm.buckets import linked
-from loomseq.llm.common import components, map_batches, materialise, texts_of
+from loomseq.llm.common import components, map_batches, materialise, named_rows, texts_of
 from loomseq.operators import skew
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -138,3 +138,22 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is their component's smallest; of rows that repeat it, one stays."""
     keep = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def dedup_rows(docs: DataFrame) -> DataFrame:
+    """One row of each component, the smallest doc_id, nulls last, and of rows that share it the smallest hash of the row.
+    Unlike dedup(), rows without an id and different texts under one id are kept like others."""
+    named = named_rows(docs)
+
+    def run(b: pa.RecordBatch):
+        fps = np.array([fingerprint(t) for t in texts_of(b)], dtype=np.uint64)
+        return {"doc_id": b.column("doc_id"), "row": b.column("_row"), "fp": pa.array(fps.view(np.int64))}
+
+    prints = map_batches(named.select("doc_id", "text", "_row"), run, "doc_id bigint, row bigint, fp bigint")
+    head = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row"))
+    distinct = materialise(prints.groupBy("fp").agg(head.alias("head")))
+    found = linked(bucket_rows(distinct.select(F.col("fp").alias("id"), "fp")), _load, _verify)
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "fp")
+    least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("head").alias("head"))
+    keep = least.select(F.col("head.row").alias("_row"))
+    return named.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -66,3 +66,17 @@ def test_bands():
     s = np.unique(r.integers(0, 1 << 64, 5000, dtype=np.uint64))
     assert nearcopies.bands(s) == nearcopies.bands(s.copy()) and len(set(nearcopies.bands(s))) == nearcopies.BANDS
     assert nearcopies.bands(s[:0]) == []
+
+
+def test_stage_links_by_fingerprints_and_by_sets(spark):
+    """The pipeline's stage is SimHash, which weighs repeats as sets don't; near copies beyond its budget go as well, and rows
+    without an id or with a shared one are kept like others."""
+    import corpus_pipeline
+
+    tail = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    base = [f"b{i}" for i in range(120)]
+    near = " ".join(base[:115] + ["other"] + base[116:])
+    rows = [(1, "p " * 80 + tail(1)), (2, "p " * 80 + tail(2)), (3, " ".join(base)), (4, near), (None, tail(5)), (6, tail(6)), (6, tail(7))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "6", "6", "None"]
