@@ -3,14 +3,26 @@ results do not depend on partitioning, retries or the engine."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _digest(seed: int, row: Column, pos: Column, salt: str) -> Column:
+    """32 bits of an md5 digest as eight digits."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), pos.cast("string"), F.lit(salt))), 1, 8)
+
+
+def below(seed: int, row: Column, pos: Column, salt: str, rate: float) -> Column:
+    """uniform() < rate, by comparing digits: no number is made."""
+    bar = math.ceil(rate * 2**32)
+    return F.lit(True) if bar >= 2**32 else _digest(seed, row, pos, salt) < f"{max(bar, 0):08x}"
+
+
 def uniform(seed: int, row: Column, pos: Column, salt: str) -> Column:
     """A double in [0, 1) from the first 32 bits of an md5 digest."""
-    key = F.concat_ws(":", F.lit(str(seed)), row.cast("string"), pos.cast("string"), F.lit(salt))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(_digest(seed, row, pos, salt), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def uniform_int(seed: int, row: Column, pos: Column, salt: str, below: int) -> Column:

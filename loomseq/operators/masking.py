@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.functions.draws import uniform, uniform_int
+from loomseq.functions.draws import below, uniform, uniform_int
 from loomseq.functions.tokens import stable_partition
 
 IGNORE = -100
@@ -14,11 +14,18 @@ IGNORE = -100
 def candidates(ids: Column, row: Column, specials: list[int], rate: float, seed: int) -> Column:
     """0-based positions drawn with the given rate among ids that aren't special."""
     picked = F.transform(
-        ids, lambda t, i: F.when(~t.isin(specials) & (uniform(seed, row, i, "select") < rate), i)
+        ids, lambda t, i: F.when(~t.isin(specials) & below(seed, row, i, "select", rate), i)
     )
     return F.filter(picked, lambda p: p.isNotNull())
 
 
+def candidate_rows(rows: DataFrame, ids: str, row: str, specials: list[int], rate: float, seed: int, pos: str = "pos") -> DataFrame:
+    """candidates() as (row, pos), one row each: a position is a row before it is drawn, which compiles, where a
+    function over an array doesn't."""
+    each = rows.select(row, F.posexplode(ids).alias(pos, "_id"))
+    return each.where(~F.col("_id").isin(specials) & below(seed, F.col(row), F.col(pos), "select", rate)).select(row, pos)
+
+
 def closure(cand: Column, ngrams: Column) -> Column:
     """Fold over n-grams in rank order: one that touches a candidate makes all its positions
     candidates and goes. Later n-grams see what earlier ones added, not the other way round.
