@@ -87,9 +87,8 @@ class _Windows:
         self.own = [pd.util.hash_array(named, hash_key=k, categorize=False)[self.ids] if len(named) else np.zeros(0, np.uint64) for k in ("0123456789123456", _SECOND)]
         self.length, self.hashed, self.good = 1, list(self.own), None
 
-    def asked(self, n: int, known: dict[int, np.ndarray]):
-        """(order, new, hashes, more) of the windows of n tokens that may occur twice, see _grouped(). Afterwards `good` says
-        which do, if `known` has answers for n; n counts up from low."""
+    def asked(self, n: int):
+        """(starts, order, new, hashes, more) of the windows of n tokens that may occur twice, see _grouped()."""
         while self.length < n:
             self.length += 1
             self.hashed = [_joined(h[:-1], o[self.length - 1 :]) for h, o in zip(self.hashed, self.own)]
@@ -99,14 +98,19 @@ class _Windows:
         starts = np.nonzero(fits)[0]
         hashes, more = self.hashed[0][starts], (self.hashed[1][starts] >> np.uint64(20)) & MORE
         order, new = _grouped(hashes, more)
-        self.good = fits
-        if n in known:
-            twice = known[n]
-            if len(twice) != new.sum():
-                raise ValueError(f"{len(twice)} answers for {new.sum()} windows of {n} tokens")
-            self.good = np.zeros(len(fits), bool)
-            self.good[starts[order]] = twice[np.cumsum(new) - 1]
-        return order, new, hashes, more
+        return starts, order, new, hashes, more
+
+    def decide(self, n: int, twice: np.ndarray, places: np.ndarray | None):
+        """`good` says at which places windows of n tokens occur twice, if these aren't known yet by the answers for the
+        different windows that were asked for; n counts up from low."""
+        if places is not None:
+            self.good = places
+            return
+        starts, order, new, _, _ = self.asked(n)
+        if len(twice) != new.sum():
+            raise ValueError(f"{len(twice)} answers for {new.sum()} windows of {n} tokens")
+        self.good = np.zeros(len(self.room), bool)
+        self.good[starts[order]] = twice[np.cumsum(new) - 1]
 
 
 def _grouped(hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +133,17 @@ def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _answered(rows) -> dict[int, np.ndarray]:
-    """Of each length, whether the different windows of a block occur twice, in order."""
+def _answered(rows) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Of each length, whether the different windows of a block occur twice, in order, and at which places if that is known."""
     out: dict[int, list] = {}
+    places = {}
     for r in sorted(rows or [], key=lambda r: (r["length"], r["range"])):
-        out.setdefault(r["length"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool))
-    return {n: np.concatenate(x) for n, x in out.items()}
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).view(bool)
+        if r["range"] < 0:
+            places[r["length"]] = bits
+        else:
+            out.setdefault(r["length"], []).append(bits)
+    return {n: np.concatenate(x) for n, x in out.items()}, places
 
 
 def _with(made: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -153,13 +162,21 @@ def _visited(batches, low: int):
 
 
 def _answers(made: DataFrame, known: DataFrame | None, low: int, n: int, ranges: int) -> DataFrame:
-    """(block, length, range, n, bits): for each different window of n tokens of a block, whether it occurs twice anywhere."""
+    """(block, length, range, n, bits): for each different window of n tokens of a block, whether it occurs twice anywhere.
+    Ranges below zero have the places of the windows that are one token shorter, so that they aren't made out again."""
 
     def sent(batches):
-        for block, w, have in _visited(batches, low):
-            for shorter in range(low, n):
-                w.asked(shorter, have)
-            order, new, hashes, more = w.asked(n, have)
+        for block, w, (have, places) in _visited(batches, low):
+            if n > low:
+                if n - 1 not in have:  # none was asked for
+                    continue
+                for shorter in range(max(low, n - 2), n):
+                    w.decide(shorter, have[shorter], places.get(shorter))
+                yield pa.RecordBatch.from_pydict({
+                    "range": pa.array([-1 - (block ^ block >> 32) % ranges], pa.int32()), "block": pa.array([block], pa.int64()), "n": pa.array([len(w.good)], pa.int32()),
+                    "hashes": pa.array([np.packbits(w.good).tobytes()], pa.binary()), "more": pa.array([b""], pa.binary()), "several": pa.array([b""], pa.binary()),
+                })
+            _, order, new, hashes, more = w.asked(n)
             firsts = np.nonzero(new)[0]
             h, m = hashes[order[firsts]], more[order[firsts]]
             several = np.diff(firsts, append=len(order)) > 1
@@ -174,7 +191,13 @@ def _answers(made: DataFrame, known: DataFrame | None, low: int, n: int, ranges:
                 "several": pa.array([np.packbits(several[c]).tobytes() for c in cuts], pa.binary()),
             })
 
+    def answers(rows, length, bits):
+        kept = {c: pa.array([r[c] for r in rows], t) for c, t in (("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()))}
+        return pa.RecordBatch.from_pydict(kept | {"length": pa.array([length] * len(rows), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
     def total(rows):
+        if rows[0]["range"] < 0:
+            return answers(rows, n - 1, [r["hashes"] for r in rows])
         h = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(r["hashes"], np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64) for r in rows])
         m = np.zeros((len(h), 4), np.uint8)
         m[:, :3] = np.concatenate([np.frombuffer(r["more"], np.uint8).reshape(3, -1).T for r in rows])
@@ -185,8 +208,7 @@ def _answers(made: DataFrame, known: DataFrame | None, low: int, n: int, ranges:
         twice[order] = (sums > 1)[np.cumsum(new) - 1]
         ends = np.cumsum([0] + [r["n"] for r in rows])
         bits = [np.packbits(twice[a:z]).tobytes() for a, z in zip(ends, ends[1:])]
-        kept = {c: pa.array([r[c] for r in rows], t) for c, t in (("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()))}
-        return pa.RecordBatch.from_pydict(kept | {"length": pa.array([n] * len(rows), pa.int32()), "bits": pa.array(bits, pa.binary())})
+        return answers(rows, n, bits)
 
     def met(batches):
         at, rows = None, []
@@ -222,13 +244,13 @@ def hits(docs: DataFrame, tokens: str, low: int, high: int, most: int, key: str
     kind = docs.schema[key].dataType.simpleString()
 
     def found(batches):
-        for _, w, have in _visited(batches, low):
+        for _, w, (have, places) in _visited(batches, low):
             row = np.repeat(np.arange(len(w.sizes)), w.sizes)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(w.sizes) - w.sizes, w.sizes)
             for n in range(low, high + 1):
                 if n not in have:  # none was asked for
                     break
-                w.asked(n, have)
+                w.decide(n, have[n], places.get(n))
                 starts = np.nonzero(w.good & (pos + n <= most))[0]
                 for c in range(0, len(starts), SENT):
                     some = starts[c : c + SENT]
