@@ -3,6 +3,8 @@ results do not depend on partitioning, retries or the engine."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -28,3 +30,31 @@ def uniform(seed: int, row: Column, pos: Column, salt: str) -> Column:
 def uniform_int(seed: int, row: Column, pos: Column, salt: str, below: int) -> Column:
     """An integer in [0, below)."""
     return F.floor(uniform(seed, row, pos, salt) * below).cast("int")
+
+
+class RowDraws:
+    """The draws of one row where tasks work on Arrow batches: the same digests, so the same results, as below(), uniform() and
+    uniform_int() give. row is the row's key as a string; a null one is left out, as concat_ws() leaves it out."""
+
+    def __init__(self, seed: int, row: str | None):
+        self.head = (f"{seed}:" if row is None else f"{seed}:{row}:").encode()
+
+    def below(self, places, salt: str, rate: float) -> list[int]:
+        """Those of the places whose draw is below rate."""
+        bar = math.ceil(rate * 2**32)
+        if bar >= 2**32:
+            return list(places)
+        # A digest stands before four bytes if its own first four do.
+        head, least, md5 = self.head, max(bar, 0).to_bytes(4), hashlib.md5
+        return [i for i in places if md5(head + _tail(i, salt)).digest() < least]
+
+    def uniform(self, place: int, salt: str) -> float:
+        return int.from_bytes(hashlib.md5(self.head + _tail(place, salt)).digest()[:4]) / 4294967296.0
+
+    def uniform_int(self, place: int, salt: str, below: int) -> int:
+        return math.floor(self.uniform(place, salt) * below)
+
+
+@functools.lru_cache(1 << 14)
+def _tail(place: int, salt: str) -> bytes:
+    return f"{place}:{salt}".encode()

@@ -7,6 +7,7 @@ out counts as none."""
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -32,15 +33,57 @@ def linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) ->
     return x @ weight if bias is None else x @ weight + bias
 
 
-def attend(queries: np.ndarray, qkv: np.ndarray, heads: int, bias: np.ndarray) -> np.ndarray:
-    """Attention of the chosen rows to all rows; bias (heads or 1, rows, all rows) is added to the scores."""
+#: Queries whose scores are held at a time.
+QUERIES = 64
+#: Scores up to this many need no shift by their maximum: their exponentials and sums of these are far from the ends of doubles.
+UNSHIFTED = 300.0
+
+
+@functools.lru_cache(4)
+def _decays(heads: int, size: int) -> np.ndarray:
+    """(heads, 2 size - 1): exp of the distance bias, for distances from size - 1 over 0 to size - 1."""
+    return np.exp(-np.array(alibi_slopes(heads))[:, None] * np.abs(np.arange(1 - size, size)))
+
+
+def attend(queries: np.ndarray, qkv: np.ndarray, heads: int, mask: np.ndarray, distance: bool, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Attention of the chosen rows to all rows, a block of queries at a time. Where mask isn't 1, -10000 is added to a key's
+    scores, and with distance each head's slope times the distance is taken off.
+
+    kinds numbers the rows from 0 on: rows of a kind are alike. Scores are then made once for each pair of kinds."""
     n, d = len(qkv), qkv.shape[1] // 3
-    q, k, v = (y.reshape(n, heads, d // heads).transpose(1, 0, 2) for y in np.split(qkv, 3, axis=1))
-    q = q[:, queries]
-    s = q @ k.transpose(0, 2, 1) / math.sqrt(d // heads) + bias
-    p = np.exp(s - s.max(-1, keepdims=True))
-    p /= p.sum(-1, keepdims=True)
-    return (p @ v).transpose(1, 0, 2).reshape(len(queries), d)
+    size = d // heads
+    out = np.empty((len(queries), d))
+    shown = None if kinds is None else np.zeros(kinds.max() + 1, np.intp)
+    if kinds is not None:
+        shown[kinds] = np.arange(n)
+    decays = np.lib.stride_tricks.sliding_window_view(_decays(heads, room := 1 << max(n - 1, 1).bit_length()), n, axis=1) if distance else None
+    slopes = alibi_slopes(heads)
+    for h in range(heads):
+        q, k, v = (qkv[:, part * d + h * size : part * d + (h + 1) * size] for part in range(3))
+        q = q / math.sqrt(size)
+        weighed = np.concatenate([v, np.ones((n, 1))], 1)
+        plain = (mask == 1).all() and (q * q).sum(1).max() * (k * k).sum(1).max() <= UNSHIFTED**2
+        pairs = None
+        if plain and kinds is not None:
+            pairs = q[shown] @ k[shown].T
+            np.exp(pairs, out=pairs)
+        for c in range(0, len(queries), QUERIES):
+            at = queries[c : c + QUERIES]
+            s = q[at] @ k.T if pairs is None else pairs.take(kinds[at], 0).take(kinds, 1)
+            if plain:
+                if pairs is None:
+                    np.exp(s, out=s)
+                if distance:
+                    s *= decays[h][room - 1 - at]
+            else:
+                if distance:
+                    s -= slopes[h] * np.abs(at[:, None] - np.arange(n))
+                s += (1.0 - mask) * -10000.0
+                s -= s.max(1, keepdims=True)
+                np.exp(s, out=s)
+            made = s @ weighed
+            out[c : c + len(at), h * size : (h + 1) * size] = made[:, :-1] / made[:, -1:]
+    return out
 
 
 @dataclass
@@ -83,30 +126,28 @@ class PlainWeights:
     norm2: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def block(x: np.ndarray, mask: np.ndarray, w: BlockWeights, subset: np.ndarray | None = None) -> np.ndarray:
+def block(x: np.ndarray, mask: np.ndarray, w: BlockWeights, subset: np.ndarray | None = None, kinds: np.ndarray | None = None) -> np.ndarray:
     """Attention with linear distance bias, then the gated feed-forward; both with residual norm. With a
-    subset, only these rows are made, though they attend to all."""
-    place = np.arange(len(x))
-    rows = place if subset is None else subset
-    distance = np.abs(rows[:, None] - place[None, :])
-    bias = -np.array(alibi_slopes(w.heads))[:, None, None] * distance + (1.0 - mask)[None, None, :] * -10000.0
-    mixed = attend(rows, linear(x, w.wqkv, w.bqkv), w.heads, bias)
+    subset, only these rows are made, though they attend to all. kinds: see attend()."""
+    rows = np.arange(len(x)) if subset is None else np.asarray(subset)
+    mixed = attend(rows, linear(x, w.wqkv, w.bqkv), w.heads, mask, True, kinds)
     x = norm(linear(mixed, w.wo, w.bo) + x[rows], w.norm1)
     gate, value = np.split(x @ w.gated, 2, axis=1)
     return norm(linear(gelu(gate) * value, w.down, w.bdown) + x, w.norm2)
 
 
 def plain_block(x: np.ndarray, mask: np.ndarray, w: PlainWeights) -> np.ndarray:
-    mixed = attend(np.arange(len(x)), linear(x, w.wqkv, w.bqkv), w.heads, (1.0 - mask)[None, None, :] * -10000.0)
+    mixed = attend(np.arange(len(x)), linear(x, w.wqkv, w.bqkv), w.heads, mask, False)
     x = norm(linear(mixed, w.wo, w.bo) + x, w.norm1)
     return norm(linear(gelu(linear(x, w.up, w.bup)), w.down, w.bdown) + x, w.norm2)
 
 
-def forward(x: np.ndarray, mask: np.ndarray, layers: list[BlockWeights], grams: np.ndarray | None = None, gram_mask: np.ndarray | None = None, incidence: np.ndarray | None = None, gram_layers: list[PlainWeights] = (), subset: np.ndarray | None = None) -> np.ndarray:
+def forward(x: np.ndarray, mask: np.ndarray, layers: list[BlockWeights], grams: np.ndarray | None = None, gram_mask: np.ndarray | None = None, incidence: np.ndarray | None = None, gram_layers: list[PlainWeights] = (), subset: np.ndarray | None = None, kinds: np.ndarray | None = None) -> np.ndarray:
     """All layers over one sequence; after each of the first len(gram_layers) the n-grams pass through
     theirs, and what covers a position is added to it (incidence: positions by n-grams, of which the
     first rows count, one for each row that is attended to). Rows that aren't attended to come back as 0.
-    With a subset of positions, the last layer makes these alone and adds nothing."""
+    With a subset of positions, the last layer makes these alone and adds nothing. kinds, one for each row that is attended
+    to: which rows of x are alike, see attend(); the first layer uses it."""
     live = np.nonzero(mask == 1)[0]
     packed, out = x[live], np.zeros_like(x, dtype=float)
     if not len(live):
@@ -114,7 +155,7 @@ def forward(x: np.ndarray, mask: np.ndarray, layers: list[BlockWeights], grams:
     ones = np.ones(len(live))
     for k, w in enumerate(layers):
         last = subset is not None and k == len(layers) - 1
-        packed = block(packed, ones, w, np.searchsorted(live, subset) if last else None)
+        packed = block(packed, ones, w, np.searchsorted(live, subset) if last else None, None if k else kinds)
         if last:
             return packed
         if k < len(gram_layers):
