@@ -90,3 +90,19 @@ def test_attention_in_blocks_of_queries(size, hidden_rows):
         for rows in (np.arange(150), at):
             for alike in (None, kinds):
                 assert encoder.attend(rows, qkv, 2, mask, distance, alike) == pytest.approx(want[rows], abs=1e-9 * size)
+
+
+def test_classifier_makes_the_first_position_alone(spark, monkeypatch):
+    m = model.Model.fixed(50, 9, 8, 6, 2, 2, 1, 3, 1)
+    ids, grams = [2, 7, 9, 7, 3, 0], [{"id": 4, "pos": [1, 2]}]
+    rows = [(1, ids, [1, 1, 1, 1, 1, 0], grams), (2, ids, [0, 1, 1, 1, 1, 0], grams), (3, [], [], [])]
+    df = spark.createDataFrame(rows, "doc_id int, input_ids array<int>, attention_mask array<int>, ngrams array<struct<id:int,pos:array<int>>>")
+    got = {r.doc_id: r.logits for r in model.classify(df, m).collect()}
+    whole = m.classify(m.hidden(ids, rows[0][2], [(4, [1, 2])]))
+    unseen = m.classify(np.zeros((1, 8)))
+    assert got[1] == pytest.approx(whole.tolist()) and got[2] == pytest.approx(unseen.tolist()) == got[3]
+    seen = []
+    monkeypatch.setattr(encoder, "attend", lambda rows, *a, inner=encoder.attend: seen.append(len(rows)) or inner(rows, *a))
+    run, _ = model.classified(m)({"doc_id": "int"})
+    run(df.where("doc_id = 1").toArrow().to_batches()[0])
+    assert seen == [5, 1, 1]  # the tokens, their n-gram, and the first position
