@@ -106,3 +106,11 @@ def test_classifier_makes_the_first_position_alone(spark, monkeypatch):
     run, _ = model.classified(m)({"doc_id": "int"})
     run(df.where("doc_id = 1").toArrow().to_batches()[0])
     assert seen == [5, 1, 1]  # the tokens, their n-gram, and the first position
+
+
+def test_loss_positions_pass_once_and_unshuffled(spark):
+    """One pass in Python, of which labels alone come back, and a compiled filter of their rows."""
+    from loomseq.queries import QUERIES
+
+    p = QUERIES["mlm_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("MapInArrow") == 1 and "lambdafunction" not in p and "input_ids" not in p
