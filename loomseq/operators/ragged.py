@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.functions.vectors import let
 from loomseq.operators.scan import prefix_sums
 
 
@@ -66,9 +67,12 @@ def selects(mask: Column) -> Column:
 def subset_of_subset(outer: Column, inner: Column) -> Column:
     """Both masks are over the whole array, and the inner one's rows are wanted by their places among the outer one's
     (FLT11): a model that keeps only the outer rows finds its inner ones there. Inner rows that the outer mask
-    leaves out have no place."""
-    wanted = F.zip_with(outer, inner, lambda a, b: (a == 1) & (b == 1))
-    return F.filter(F.zip_with(ranks(outer), wanted, lambda r, w: F.when(w, r)), lambda r: r.isNotNull())
+    leaves out have no place.
+
+    The outer ones' places are listed in order, so the number of a place in that list is its rank, and no list of ranks is
+    made, which ranks() copies for each place."""
+    wanted = let(inner, lambda y: F.transform(selects(outer), lambda i, k: F.when(F.get(y, i) == 1, k)))
+    return F.when(inner.isNotNull(), F.filter(wanted, lambda k: k.isNotNull()))
 
 
 def head_rows(rows: DataFrame, order: list[str], n: int = 16) -> DataFrame:

@@ -114,3 +114,18 @@ def test_loss_positions_pass_once_and_unshuffled(spark):
 
     p = QUERIES["mlm_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert p.count("MapInArrow") == 1 and "lambdafunction" not in p and "input_ids" not in p
+
+
+def test_places_in_a_subset_without_a_list_of_ranks(spark):
+    from loomseq.operators import ragged
+
+    r = random.Random(4)
+    rows = [([1, 1, 0, 1], [0, 1, 1, 1]), ([], []), ([0], [1]), ([1, 0, 1], [1]), ([1], [1, 1]), (None, [1]), ([1], None)]
+    rows += [([r.randrange(2) for _ in range(50)], [r.randrange(2) for _ in range(50)]) for _ in range(20)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, o array<int>, i array<int>")
+    got = df.select("k", ragged.subset_of_subset(F.col("o"), F.col("i")).alias("p"))
+    for k, p in got.collect():
+        o, i = rows[k]
+        places = None if o is None or i is None else [sum(o[:j]) for j in range(min(len(o), len(i))) if o[j] == i[j] == 1]
+        assert p == places
+    assert "array_append" not in got._jdf.queryExecution().executedPlan().toString()
