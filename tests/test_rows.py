@@ -129,3 +129,39 @@ def test_places_in_a_subset_without_a_list_of_ranks(spark):
         places = None if o is None or i is None else [sum(o[:j]) for j in range(min(len(o), len(i))) if o[j] == i[j] == 1]
         assert p == places
     assert "array_append" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_whole_vectors_are_fused_by_rows(spark, repeated, monkeypatch):
+    """What fuse_positions() gives of matched n-grams and their vectors, without a shuffle of either."""
+    from loomseq.operators import attention
+    from loomseq.plans import records as rec
+
+    monkeypatch.setattr(attention, "PAIRS", 7)
+    docs = [(k // 2 if repeated else k, " ".join(random.Random(k).choices("abcd", k=k % 9))) for k in range(60)] + [(99, None), (98, "")]
+    texts = spark.createDataFrame(docs, "doc_id bigint, tokens string")
+    known = spark.createDataFrame([("a b", 1), ("b a", 2), ("b a c", 2), ("c d", 3), ("d d", 4), ("c c", 5)], "ngram string, ngram_id int")
+    shape, keys = rec.Shape(8, 2, 3, 2), texts.select("doc_id")
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -4.0]), (1, [2.0, 0.25]), (2, [None, 3.0]), (3, None), (7, [9.0, 9.0])], "id bigint, v array<double>")
+    sent = spark.sparkContext.broadcast(attention.table_of(vectors, "id", "v", 2, 5))
+    step = attention.fused(sent, lambda ids: ids - 1, {"one": np.array([1.0, 0.0]), "both": np.array([1.0, 10.0])})
+    got = rec.matched_lists(texts, keys, known, shape, then=(step,))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == repeated
+    grams = rec.matched(texts, keys, known, shape).withColumn("id", F.col("ngram_id") - 1).join(vectors, "id")
+    want = attention.fuse_positions(grams, 2)
+    zero = lambda x: 0.0 if x is None else x
+    expected = sorted((r.doc_id, r.pos, *((None, None) if r.v == [None, None] else (zero(r.v[0]), zero(r.v[0]) + 10 * zero(r.v[1])))) for r in want.collect())
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 50 and any(x[2] is None for x in expected)
+    with pytest.raises(ValueError):
+        attention.table_of(vectors, "id", "v", 2, 3)
+
+
+def test_no_vectors_and_no_ngrams(spark):
+    from loomseq.operators import attention, batches
+
+    none = spark.createDataFrame([], "id bigint, v array<double>")
+    step = attention.fused(spark.sparkContext.broadcast(attention.table_of(none, "id", "v", 2, 5)), lambda ids: ids, {"one": np.ones(2)})
+    rows = spark.createDataFrame([(1, [(3, [1, 2])]), (2, []), (3, None)], "doc_id bigint, ngrams array<struct<id:int,pos:array<int>>>")
+    assert batches.over(rows, step).collect() == []
+    assert batches.over(rows.where("doc_id = 2"), step).collect() == []
