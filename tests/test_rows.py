@@ -67,6 +67,9 @@ def test_losses_hold_few_scores_and_logits():
     z = m.token_logits(made)
     assert predicted == z.argmax(1).tolist()
     assert losses == pytest.approx((np.log(np.exp(z).sum(1)) - z[np.arange(500), ids[1:501]]).tolist(), abs=1e-12)
+    m.decoder_bias[7] = 900.0  # exponentials of such logits need the shift by their maximum
+    z = m.token_logits(made)
+    assert model._losses(m, made, ids[1:501])[1] == pytest.approx((z[:, 7] - z[np.arange(500), ids[1:501]]).tolist())
     assert peak_mb(lambda: model._losses(m, made, ids[1:501])) < 5
     assert peak_mb(lambda: m.hidden(ids, np.ones(512), [(3, [4, 5])])) < 6
 
@@ -90,6 +93,7 @@ def test_attention_in_blocks_of_queries(size, hidden_rows):
         for rows in (np.arange(150), at):
             for alike in (None, kinds):
                 assert encoder.attend(rows, qkv, 2, mask, distance, alike) == pytest.approx(want[rows], abs=1e-9 * size)
+        assert encoder.attend(slice(None), qkv, 2, mask, distance, kinds) == pytest.approx(want, abs=1e-9 * size)
 
 
 def test_classifier_makes_the_first_position_alone(spark, monkeypatch):
@@ -102,7 +106,7 @@ def test_classifier_makes_the_first_position_alone(spark, monkeypatch):
     unseen = m.classify(np.zeros((1, 8)))
     assert got[1] == pytest.approx(whole.tolist()) and got[2] == pytest.approx(unseen.tolist()) == got[3]
     seen = []
-    monkeypatch.setattr(encoder, "attend", lambda rows, *a, inner=encoder.attend: seen.append(len(rows)) or inner(rows, *a))
+    monkeypatch.setattr(encoder, "attend", lambda *a, inner=encoder.attend: seen.append(len(out := inner(*a))) or out)
     run, _ = model.classified(m)({"doc_id": "int"})
     run(df.where("doc_id = 1").toArrow().to_batches()[0])
     assert seen == [5, 1, 1]  # the tokens, their n-gram, and the first position
